@@ -6,7 +6,7 @@ import importlib
 from types import ModuleType
 
 # Modules with QUERIES and SQL.
-MODULES: tuple[str, ...] = ()
+MODULES = ("record_queries",)
 
 
 def query_modules() -> list[ModuleType]:
