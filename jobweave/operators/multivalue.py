@@ -152,10 +152,10 @@ def split_values(df: DataFrame, id_col: str, field_col: str, table_name: str | N
     id stays null. Fields without any separator, quote or bracket are their own single value
     and are parsed in the JVM. Other columns of ``df`` play no part.
     """
-    rows = df.select(F.col(id_col).alias("row_id"), F.col(field_col).alias("field")).where(F.trim(F.regexp_replace("field", r"\s+", " ")) != "")
+    rows = df.select(F.col(id_col).alias("row_id"), F.col(field_col).alias("field")).where(F.regexp_replace("field", r"[\s\u00a0\u2000-\u200a\u3000]+", "") != "")
     marks = "".join(sorted({*SEPARATORS, *_ANY_QUOTE, *BRACKETS, *BRACKETS.values()}))
     packed = F.length(F.translate("field", marks, "")) < F.length("field")
-    trimmed = F.regexp_replace("field", r"^[\s  　]+|[\s  　]+$", "")
+    trimmed = F.regexp_replace("field", r"^[\s\u00a0\u2000-\u200a\u3000]+|[\s\u00a0\u2000-\u200a\u3000]+$", "")
     fields = rows.groupBy("field").agg(F.count(F.lit(1)).alias("n"))
     chosen = cheapest_parses(fields)
     pieces = rows.where(packed).join(chosen.select("field", "pieces"), "field").select("row_id", F.posexplode("pieces").alias("k", "item_value"))

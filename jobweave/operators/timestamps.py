@@ -62,8 +62,8 @@ def plain(text: Column) -> Column:
     wide = "".join(chr(0xFF01 + k) for k in range(94))
     narrow = "".join(chr(0x21 + k) for k in range(94))
     text = F.translate(text, wide, narrow)
-    text = F.regexp_replace(text, r"[​-‍⁠﻿­]", "")
-    return F.trim(F.regexp_replace(text, r"[\s  -  　]+", " "))
+    text = F.regexp_replace(text, r"[\u200b-\u200d\u2060\ufeff\u00ad]", "")
+    return F.trim(F.regexp_replace(text, r"[\s\u00a0\u2000-\u200a\u202f\u3000]+", " "))
 
 
 def _int(field: Column) -> Column:
