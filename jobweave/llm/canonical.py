@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.llm.skeleton import plain_form
+from jobweave.sources.scratch import cut
 
 COMMON = 0.25  # n-grams in more than this share of a list of LONG_LIST entries or more weigh nothing
 LONG_LIST = 20
@@ -86,15 +87,15 @@ def match_values(
     entries and joined by a shuffle beyond. An empty reference list matches nothing.
     """
     distinct = values.where(F.trim(value_col) != "").groupBy(F.col(value_col).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
-    normal = distinct.withColumn("normal", F.pandas_udf(_normal, "string")("value")).where("normal <> ''")
+    normal = cut(distinct.withColumn("normal", F.pandas_udf(_normal, "string")("value")).where("normal <> ''"))
     forms = normal.select("normal").distinct().withColumn("g", F.pandas_udf(_grams, "array<string>")("normal"))
-    index = inverted_index(reference, id_col, name_col)
+    index = cut(inverted_index(reference, id_col, name_col))
     small = len(reference.select(id_col).take(reference_limit + 1)) <= reference_limit
     index = F.broadcast(index) if small else index
     known = F.broadcast(index.select("gram", "weight2").distinct()) if small else index.select("gram", "weight2").distinct()
-    cut = forms.select("normal", F.explode("g").alias("gram"))
-    norms = cut.join(known, "gram").groupBy("normal").agg(F.sqrt(F.sum("weight2")).alias("norm"))
-    dots = cut.join(index, "gram").groupBy("normal", "entry").agg(F.sum("weight2").alias("dot"), F.first("entry_norm").alias("entry_norm"))
+    pieces = cut(forms.select("normal", F.explode("g").alias("gram")).join(known, "gram"))
+    norms = pieces.groupBy("normal").agg(F.sqrt(F.sum("weight2")).alias("norm"))
+    dots = pieces.drop("weight2").join(index, "gram").groupBy("normal", "entry").agg(F.sum("weight2").alias("dot"), F.first("entry_norm").alias("entry_norm"))
     scored = dots.join(norms, "normal").select("normal", "entry", F.round(F.col("dot") / (F.col("norm") * F.col("entry_norm")), 9).alias("score"))
     ranked = scored.groupBy("normal").agg(F.max_by("entry", F.struct("score", -F.col("entry"))).alias("best"), F.max("score").alias("score"))
     second = scored.join(ranked.select("normal", "best"), "normal").where("entry <> best").groupBy("normal").agg(F.max("score").alias("runner_up"))
