@@ -6,7 +6,7 @@ import importlib
 from types import ModuleType
 
 # Modules with QUERIES and SQL.
-MODULES = ("record_queries", "text_queries")
+MODULES = ("record_queries", "text_queries", "document_queries")
 
 
 def query_modules() -> list[ModuleType]:
