@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from jobweave.llm.abuse import fit_machine, score_documents
 from jobweave.llm.leaks import find_leaks, removal_spans
 from jobweave.llm.packing import fill_report, pack, token_counts
 from jobweave.sources.tables import table
@@ -43,5 +44,32 @@ def p9_spans(spark: SparkSession, folder: str) -> DataFrame:
     return removal_spans(_leaks(spark, folder)).withColumnRenamed("doc", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p8_packed, p8_report, p9_found, p9_items, p9_spans)}
+ABUSE_LIMIT = 0.5
+
+
+def _scores(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    machine = fit_machine(documents, table(spark, folder, "doc_label"))
+    return score_documents(documents.select("doc_id", "text", *columns), machine)
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id) of documents whose worst passage is abusive, hateful or sexual more likely than not."""
+    return _scores(spark, folder).where(F.col("abuse_score") >= ABUSE_LIMIT).select("doc_id")
+
+
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, abuse_score) of every document."""
+    return _scores(spark, folder).select("doc_id", "abuse_score")
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """(source, documents, flagged, rate, mean_score) per source."""
+    flagged = (F.col("abuse_score") >= ABUSE_LIMIT).cast("int")
+    return _scores(spark, folder, "source").groupBy("source").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum(flagged).alias("flagged"), F.avg(flagged).alias("rate"), F.avg("abuse_score").alias("mean_score")
+    )
+
+
+QUERIES = {f.__name__: f for f in (p8_packed, p8_report, p9_found, p9_items, p9_spans, p10_found, p10_scores, p10_rates)}
 SQL: dict[str, str] = {}
