@@ -217,7 +217,7 @@ def fit_machine(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
         return pd.DataFrame({"bias": [machine.bias], "weights": [machine.weights.tobytes()], "factors": [machine.factors.tobytes()]})
 
     sample = labelled_sample(documents, labels, doc_id, text, limit)
-    got = sample.groupBy(F.lit(0)).applyInPandas(run, "bias double, weights binary, factors binary").collect()
+    got = sample.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "bias double, weights binary, factors binary").collect()
     if not got:
         return None
     return Machine(got[0]["bias"], np.frombuffer(bytes(got[0]["weights"]), np.float32), np.frombuffer(bytes(got[0]["factors"]), np.float32).reshape(-1, FACTORS))
