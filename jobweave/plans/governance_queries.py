@@ -51,7 +51,7 @@ def holdout_leaks(s: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "canonical_projection": lambda s, d: canonical(_raw(s, d)),
+    "canonical_projection": lambda s, d: canonical(_raw(s, d)).withColumn("published_at", F.col("published_at").cast("string")),
     "clean_descriptions": lambda s, d: _raw(s, d).select("id", T.clean_description(F.col("description")).alias("cleaned")),
     "standard_titles": lambda s, d: _raw(s, d).select("id", T.standard_title(F.col("title")).alias("standard")),
     "template_hashes": lambda s, d: _raw(s, d).select("id", F.sha2(T.template_text(F.col("description")), 256).alias("template")),
@@ -120,7 +120,7 @@ _MD5 = "SELECT id AS raw_id, 2026 AS holdout_year FROM dataset_job_raw WHERE pos
 _CLUSTER = "SELECT template_hash, min(raw_job_id) AS root_id, count(*) AS member_count FROM zhitu_governed_job WHERE is_deleted = 0 AND valid_for_analysis = 1 AND template_hash IS NOT NULL GROUP BY 1 HAVING count(*) > 1"
 _KEEP = "n.raw_job_id IS NULL OR coalesce(o.manual_modified = 1 OR o.is_deleted = 1, false)"
 SQL = {
-    "canonical_projection": _CANON,
+    "canonical_projection": f"SELECT * REPLACE (CAST(published_at AS VARCHAR) AS published_at) FROM ({_CANON})",
     "clean_descriptions": f"SELECT id, {_CLEAN} AS cleaned FROM dataset_job_raw",
     "standard_titles": f"SELECT id, {_TITLE} AS standard FROM dataset_job_raw",
     "template_hashes": f"SELECT id, sha256({_template('coalesce(description, $$$$)')}) AS template FROM dataset_job_raw",
