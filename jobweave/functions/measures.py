@@ -35,7 +35,7 @@ def analysable() -> Column:
 
 
 def clamp(value: Column, low: float = 0.0, high: float = 1.0) -> Column:
-    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
+    return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(low)), F.lit(high)))
 
 
 def saturation(count: Column, full: float) -> Column:

@@ -73,7 +73,8 @@ def quality(title: Column, company: Column, description: Column, year: Column, s
 
 
 def staleness(year: Column, as_of: int) -> Column:
-    return F.round(F.coalesce(F.least(F.greatest((F.lit(as_of) - year) / 8.0, F.lit(0.0)), F.lit(1.0)), F.lit(1.0)), 6)
+    # least and greatest pass over nulls, so an unknown year is told apart first.
+    return F.when(year.isNull(), F.lit(1.0)).otherwise(F.round(F.least(F.greatest((F.lit(as_of) - year) / 8.0, F.lit(0.0)), F.lit(1.0)), 6))
 
 
 def valid_year(year: Column, low: int = 2000, high: int = 2100) -> Column:
@@ -141,7 +142,7 @@ def finish_duplicates(rows: DataFrame, id_col: str = "raw_job_id", hash_col: str
     return joined.select(
         id_col,
         F.when(F.col("member_count").isNotNull(), F.concat(F.lit("TPL-"), F.col("root_id").cast("string"))).alias("new_group"),
-        F.coalesce(duplicate_weight(F.col("member_count")), F.lit(1.0)).alias("new_weight"),
+        F.when(F.col("member_count").isNull(), F.lit(1.0)).otherwise(duplicate_weight(F.col("member_count"))).alias("new_weight"),
         status.alias("new_status"),
     )
 

@@ -126,12 +126,12 @@ SQL = {
     "template_hashes": f"SELECT id, sha256({_template('coalesce(description, $$$$)')}) AS template FROM dataset_job_raw",
     "content_keys": f"SELECT id, sha256({_SP('lower(coalesce(title, $$$$) || chr(10) || coalesce(description, $$$$) || chr(10) || coalesce(company, $$$$))')}) AS key FROM dataset_job_raw",
     "governed_rows": f"""{_GOV} SELECT raw_id, title, year, {_case('lower(body)', G.STACKS, "'人工智能'")} AS tech_stack, {_case("lower(body || ' ' || experience)", G.LEVELS, "'未标注'")} AS level_name, skill_count,
-      quality_score, round(coalesce(least(greatest((2026 - year) / 8.0::DOUBLE, 0), 1), 1), 6) AS stale_score, CAST({_VALID} AS INTEGER) AS valid, CASE WHEN {_VALID} THEN 'CLEANED' ELSE 'LOW_QUALITY' END AS status FROM q""",
+      quality_score, CASE WHEN year IS NULL THEN 1 ELSE round(least(greatest((2026 - year) / 8.0::DOUBLE, 0), 1), 6) END AS stale_score, CAST({_VALID} AS INTEGER) AS valid, CASE WHEN {_VALID} THEN 'CLEANED' ELSE 'LOW_QUALITY' END AS status FROM q""",
     "governance_issues": f"""{_GOV} SELECT raw_id, 'MISSING_FIELD' AS issue_type, 'title' AS field_name, 'HIGH' AS severity FROM q WHERE trim(title) = '' UNION ALL
       SELECT raw_id, 'LOW_CONTENT', 'description', 'HIGH' FROM q WHERE length(description) < 20 UNION ALL SELECT raw_id, 'MISSING_YEAR', 'published_year', 'HIGH' FROM q WHERE year IS NULL UNION ALL
       SELECT raw_id, 'NO_SKILL', 'skills', 'MEDIUM' FROM q WHERE skill_count = 0""",
     "duplicate_clusters": _CLUSTER,
-    "finished_duplicates": f"""SELECT raw_job_id, 'TPL-' || CAST(root_id AS VARCHAR) AS new_group, coalesce(round(greatest(0.15::DOUBLE, 1 / sqrt(member_count)), 6), 1) AS new_weight,
+    "finished_duplicates": f"""SELECT raw_job_id, 'TPL-' || CAST(root_id AS VARCHAR) AS new_group, CASE WHEN member_count IS NULL THEN 1 ELSE round(greatest(0.15::DOUBLE, 1 / sqrt(member_count)), 6) END AS new_weight,
       CASE WHEN manual_modified = 1 THEN governance_status WHEN member_count IS NOT NULL THEN 'DUPLICATE_REVIEW' WHEN valid_for_analysis = 1 THEN 'CLEANED' ELSE 'LOW_QUALITY' END AS new_status
       FROM zhitu_governed_job j LEFT JOIN ({_CLUSTER}) c ON j.template_hash = c.template_hash WHERE is_deleted = 0""",
     "holdout_md5": _MD5,
@@ -146,7 +146,7 @@ SQL = {
       FROM dataset_job_raw r LEFT JOIN (SELECT * FROM zhitu_governed_job WHERE manual_modified = 1) g ON r.id = g.raw_job_id""",
     "deduplicated_load": "SELECT min(id) AS id, source_dataset FROM dataset_job_raw GROUP BY source_dataset, content_hash",
     "requirement_types": f"""SELECT id, {_case("lower(coalesce(evidence_text, ''))", G.REQUIREMENTS, "'MENTIONED'")} AS kind, {_case("lower(coalesce(evidence_text, ''))", G.CONFIDENCES, "0.74")}::DOUBLE AS confidence FROM zhitu_governed_job_skill""",
-    "staleness": "SELECT raw_job_id, round(coalesce(least(greatest((2026 - published_year) / 8.0::DOUBLE, 0), 1), 1), 6) AS stale FROM zhitu_governed_job",
+    "staleness": "SELECT raw_job_id, CASE WHEN published_year IS NULL THEN 1 ELSE round(least(greatest((2026 - published_year) / 8.0::DOUBLE, 0), 1), 6) END AS stale FROM zhitu_governed_job",
 }
 SQL = {k: v.replace("$$$$", "''") for k, v in SQL.items()}
 
