@@ -23,3 +23,13 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` written to the reliable checkpoint folder and read back from there."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for work that is heavy per row.
+
+    A table of many splits stays as it is; only one that Spark would read in fewer tasks than
+    it has cores (a single small file) is dealt out. The rows are the same either way.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
