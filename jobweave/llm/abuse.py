@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.llm.near_duplicates import token_hashes
+from jobweave.sources.scratch import spread
 
 BUCKET_BITS = 17
 FACTORS = 6
@@ -239,4 +240,4 @@ def score_documents(documents: DataFrame, machine: Machine | None, text: str = "
             parts = [shared.value.score(texts.iloc[a : a + 500].tolist()) for a in range(0, len(texts), 500)]
             yield pd.Series(np.concatenate([np.empty(0), *parts]))
 
-    return documents.withColumn(out_col, F.pandas_udf(score, "double")(text))
+    return spread(documents).withColumn(out_col, F.pandas_udf(score, "double")(text))

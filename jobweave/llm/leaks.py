@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.llm.fm_index import FMIndex
+from jobweave.sources.scratch import spread
 
 PHRASE_LATIN, PHRASE_OTHER = 14, 6
 MIN_SEED = 0.15
@@ -222,7 +223,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", d
     empty texts and items without letters give no row, repeated rows give repeated rows, an
     empty table none. Other columns play no part.
     """
-    docs = documents.where(F.length(doc_text) > 0).select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text"))
+    docs = spread(documents.where(F.length(doc_text) > 0).select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("text")))
     known = items.where(F.length(item_text) > 0).select(F.col(item_id).alias("i"), F.col(item_text).alias("t"))
     out: DataFrame | None = None
     block: list[Item] = []

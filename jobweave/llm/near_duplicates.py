@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.llm.components import components
-from jobweave.sources.scratch import cut
+from jobweave.sources.scratch import cut, spread
 
 BLOCKS, SLOTS = 40, 5
 RUN = 3
@@ -135,7 +135,7 @@ def _estimate(a: str, b: str) -> Column:
 def representatives(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> tuple[DataFrame, DataFrame]:
     """(features of one row per different token sequence, (id, rep) of every row with a fingerprint)."""
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.lower(text_col).alias("text")).where(F.col("id").isNotNull() & (F.length(text_col) >= min_chars))
-    features = cut(rows.mapInPandas(_features, "id long, c1 long, c2 long, blocks array<long>, compact array<long>"))
+    features = cut(spread(rows).mapInPandas(_features, "id long, c1 long, c2 long, blocks array<long>, compact array<long>"))
     copies = cut(features.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     few = copies.count() <= BROADCAST_ROWS
     known = features.join(F.broadcast(copies) if few else copies, ["c1", "c2"], "left").withColumn("rep", F.coalesce("rep", "id"))

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobweave.sources.scratch import cut
+from jobweave.sources.scratch import cut, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: how the public byte-level tokenizers split text before merging.
@@ -48,7 +48,7 @@ def token_counts(df: DataFrame, id_col: str, text_col: str, tokenizer: str = TOK
     def count(texts: pd.Series) -> pd.Series:
         return pd.Series([len(encode(t, tokenizer)) if t else 0 for t in texts], dtype="int64")
 
-    return df.select(F.col(id_col).alias("id"), F.pandas_udf(count, "long")(text_col).alias("n_tokens"))
+    return spread(df.select(id_col, text_col)).select(F.col(id_col).alias("id"), F.pandas_udf(count, "long")(text_col).alias("n_tokens"))
 
 
 class Packer:

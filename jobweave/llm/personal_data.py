@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.llm.skeleton import LOOK_ALIKES, prototype
+from jobweave.sources.scratch import spread
 
 KINDS = ("email", "phone", "id_number", "address", "person")
 # Cue words. Those for numbers stand before the number.
@@ -289,7 +290,7 @@ def personal_data_kinds(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Whole texts are read. Null and empty texts give no row; repeated rows give repeated rows;
     a null id stays null. Other columns play no part.
     """
-    found = df.where(F.length(text_col) > 0).select(F.col(id_col), F.pandas_udf(_kinds, "array<string>")(text_col).alias("k"))
+    found = spread(df.where(F.length(text_col) > 0).select(id_col, text_col)).select(F.col(id_col), F.pandas_udf(_kinds, "array<string>")(text_col).alias("k"))
     return found.select(id_col, F.explode("k").alias("pii_kind"))
 
 

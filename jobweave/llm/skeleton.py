@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobweave.sources.scratch import spread
+
 # Letters of other scripts and the Latin letter each looks like.
 LOOK_ALIKES = dict(
     zip(
@@ -135,7 +137,7 @@ def with_forms(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     tall = df.select(F.col(id_col), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])).alias("x")).select(id_col, "x.*")
     odd = may_differ(F.col("text"))
     forms = F.pandas_udf(_forms, RESULT)
-    done = tall.where(odd).withColumn("f", forms("text")).select(id_col, "field_name", "text", "f.*")
+    done = spread(tall.where(odd)).withColumn("f", forms("text")).select(id_col, "field_name", "text", "f.*")
     rest = tall.where(~F.coalesce(odd, F.lit(False)))
     same = rest.select(id_col, "field_name", "text", F.col("text").alias("plain"), F.lit(None).cast("string").alias("skeleton"), F.when(F.col("text").isNotNull(), 0).alias("stand_ins"))
     return done.unionByName(same)
