@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jobweave.sources.scratch import cut
+
 # Separators; full-width variants belong to the same family.
 SEPARATORS = ("|", "｜", ",", "，", ";", "；", "、", "/", "／", "\t", "\n", "\r")
 # Opening and closing quotes.
@@ -122,7 +124,8 @@ def cheapest_parses(fields: DataFrame, field_col: str = "field", weight_col: str
     ``fields`` has one row per distinct non-null field and how often it occurs. Ties go to
     the smaller number of values, then the smaller dialect name.
     """
-    parsed = fields.select(field_col, weight_col, F.pandas_udf(_parses, PARSES)(field_col).alias("p"))
+    # Parsed once: the codebook, the costs and the choice all read the same parses.
+    parsed = cut(fields.select(field_col, weight_col, F.pandas_udf(_parses, PARSES)(field_col).alias("p")))
     single = F.size("p") == 1
     # A field with one parse needs no codebook, but feeds it.
     each = parsed.select(field_col, F.posexplode("p").alias("k", "parse"), (F.col(weight_col) / F.size("p")).alias("share"), (~single).alias("open"))
