@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave.functions.measures import analysable, clamp, distinct_filled, double, evidence, first_half, momentum, saturation
-from jobweave.functions.text import bigrams, forecast_title, lowered, title_similarity
+from jobweave.functions.text import bigrams, forecast_title, title_similarity
 from jobweave.operators.market import titled
 
 SIMILAR = 0.72
@@ -140,7 +140,3 @@ def target_years(years: DataFrame) -> DataFrame:
     """Years that were observed together with the year before."""
     seen = years.select("year").distinct()
     return seen.join(seen.select((F.col("year") + 1).alias("year")), "year", "left_semi")
-
-
-def discovery_title(value: Column) -> Column:
-    return lowered(value)
