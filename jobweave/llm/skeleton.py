@@ -154,7 +154,7 @@ def equal_looking(df: DataFrame, field: str) -> DataFrame:
     formed = values.withColumn("f", F.pandas_udf(_forms, RESULT)("text")).select("text", "n", "f.plain", "f.skeleton")
     per_plain = formed.groupBy("skeleton", "plain").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("spellings"))
     return per_plain.groupBy("skeleton").agg(
-        F.max_by("plain", F.struct("n", F.reverse("plain"))).alias("plain"),
+        F.min(F.struct((-F.col("n")).alias("o"), "plain"))["plain"].alias("plain"),
         F.sum("spellings").alias("spellings"),
         F.sum("n").alias("rows"),
     )
