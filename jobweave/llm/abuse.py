@@ -204,7 +204,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, doc_id: str, text:
     votes = labels.where("is_abusive is not null").groupBy(F.col(doc_id).alias("doc")).agg(F.avg("is_abusive").alias("label")).where("label <> 0.5")
     votes = votes.orderBy(F.xxhash64("doc"), "doc").limit(limit)
     texts = documents.where(F.length(text) > 0).select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
-    return texts.join(votes, "doc").dropDuplicates(["doc"])
+    return texts.join(F.broadcast(votes), "doc").dropDuplicates(["doc"])  # votes: at most `limit` rows
 
 
 def fit_machine(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = LABELLED_LIMIT) -> Machine | None:
