@@ -126,12 +126,11 @@ class Phrases:
         return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _best_passage(item: Item, tokens: list[str], starts: list[int], q: np.ndarray, p: np.ndarray) -> tuple[float, int, int]:
-    """(share of the item, first token, end token) of the best passage around the seeds."""
+def _candidates(item: Item, tokens: list[str], starts: list[int], q: np.ndarray, p: np.ndarray, low: int, high: int) -> list[tuple[float, int, int]]:
+    """(share of the item, first token, end token) of the passages around the seeds, within tokens ``low`` to ``high``."""
     m = len(item.letters)
-    best = (0.0, 0, 0)
     size = int(STRETCH * len(item.tokens))
-    tried = set()
+    tried: dict[int, tuple[float, int, int]] = {}
     begins = np.unique(p - q)
     for begin in begins.tolist():
         inside = (p >= begin - m // 10) & (p < begin + STRETCH * m)
@@ -140,14 +139,55 @@ def _best_passage(item: Item, tokens: list[str], starts: list[int], q: np.ndarra
         np.add.at(covered, q[inside] + item.phrase, -1)
         if (np.cumsum(covered)[:m] > 0).sum() < MIN_SEED * m:
             continue
-        first = max(0, bisect_right(starts, max(0, begin)) - 1 - max(2, len(item.tokens) // 10))
-        if first in tried:
+        first = max(low, bisect_right(starts, max(0, begin)) - 1 - max(2, len(item.tokens) // 10))
+        end = min(high, first + size)
+        if first in tried or first >= end:
             continue
-        tried.add(first)
-        share = common_tokens(item.tokens, tokens[first : first + size]) / len(item.tokens)
-        if share > best[0]:
-            best = (share, first, first + size)
-    return best
+        tried[first] = (common_tokens(item.tokens, tokens[first:end]) / len(item.tokens), first, end)
+    return list(tried.values())
+
+
+def _uncovered(spans: list[tuple[int, int]], low: int, high: int) -> list[tuple[int, int]]:
+    """The parts of ``low`` to ``high`` outside ``spans``."""
+    out = []
+    for first, end in sorted(spans):
+        if first > low:
+            out.append((low, first))
+        low = max(low, end)
+    return [*out, (low, high)] if low < high else out
+
+
+def _passages(item: Item, tokens: list[str], starts: list[int], q: np.ndarray, p: np.ndarray, threshold: float) -> list[tuple[float, int, int]]:
+    """(share of the item, first token, end token) of every passage whose share reaches ``threshold``.
+
+    The best goes first; one that lies by half or more in those taken is the same passage.
+    What is left between them is searched again by itself, as a better neighbour hides a
+    passage that shares its window.
+    """
+    taken: list[tuple[float, int, int]] = []
+
+    def rest(low: int, high: int) -> list[tuple[int, int]]:
+        return _uncovered([(a, b) for _, a, b in taken], low, high)
+
+    whole = _candidates(item, tokens, starts, q, p, 0, len(tokens))
+    for share, first, end in sorted(whole, key=lambda x: (-x[0], x[1])):
+        if share < threshold:
+            break
+        first, end = _tight(item.tokens, tokens, first, end)
+        if 2 * sum(b - a for a, b in rest(first, end)) > end - first:
+            taken.append((share, first, end))
+    open_parts = rest(0, len(tokens)) if taken else []
+    while open_parts:
+        low, high = open_parts.pop()
+        if high - low < threshold * len(item.tokens):
+            continue
+        inside = (p >= starts[low]) & (p < starts[high - 1] + len(tokens[high - 1]))
+        best = max(_candidates(item, tokens, starts, q[inside], p[inside], low, high), key=lambda x: (x[0], -x[1]), default=None)
+        if best and best[0] >= threshold:
+            first, end = _tight(item.tokens, tokens, best[1], best[2])
+            taken.append((best[0], first, end))
+            open_parts += [(a, b) for a, b in ((low, first), (end, high)) if a < b]
+    return taken
 
 
 def shard_leaks(ids: list[int], texts: list[str], phrases: Phrases, threshold: float) -> list[tuple[int, int, float, int, int]]:
@@ -173,11 +213,9 @@ def shard_leaks(ids: list[int], texts: list[str], phrases: Phrases, threshold: f
             continue
         if d not in starts_of:
             starts_of[d] = np.r_[0, np.cumsum([len(t) for t in tokens[d]])[:-1]].tolist()
-        share, first, end = _best_passage(item, tokens[d], starts_of[d], q[a:b], p[a:b])
-        if share >= threshold:
-            first, end = _tight(item.tokens, tokens[d], first, min(end, len(tokens[d])))
-            places = token_places(texts[d])
-            out.append((ids[d], item.item_id, share, places[first][0], places[end - 1][1]))
+        passages = _passages(item, tokens[d], starts_of[d], q[a:b], p[a:b], threshold)
+        places = token_places(texts[d]) if passages else []
+        out += [(ids[d], item.item_id, share, places[first][0], places[end - 1][1]) for share, first, end in passages]
     return out
 
 
@@ -216,7 +254,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", d
     """(doc, item, share, first, end): every document passage that holds an item wholly or in large part.
 
     ``share`` is the part of the item's tokens that one passage, at most one and a half times
-    as long, holds in their order; ``threshold`` is a little above one half, as unrelated text
+    as long, holds in their order; an item held several times gives a row each time; ``threshold`` is a little above one half, as unrelated text
     of the same kind shares a few tokens in order by chance. ``first`` and ``end`` bound the
     passage in the document's text. Items go to the executors in blocks of ``ITEM_BLOCK``,
     whatever their number; documents are read once per block and never shuffled. Null or
@@ -246,7 +284,8 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", d
 def removal_spans(leaks: DataFrame) -> DataFrame:
     """(doc, spans): the passages of each document to take out, overlapping ones merged.
 
-    A document holds no more passages than items leaked into it, so its spans stay small.
+    Passages of one item hardly overlap, so a document has no more of them than its length and
+    the items leaked into it allow, and its spans stay small.
     """
     spans = leaks.groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("first", "end"))).alias("s"))
     merged = F.expr("""

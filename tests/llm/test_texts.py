@@ -82,6 +82,28 @@ def test_leaks(spark):
     assert common_tokens(tokens_of("a b c d"), tokens_of("b x d")) == 2
 
 
+def test_an_item_leaked_twice(spark):
+    other = "复盘时发现高噪声合同解析器的自动化测试缺口最大，需要优化排队时长。" * 10
+    part = ITEM[: int(len(ITEM) * 0.7)]
+    noisy = ITEM.replace("抽走", "带走").replace("弹性", "柔性")
+    texts = {
+        1: ["", ITEM, other, ITEM, other], 2: [other, part, other, noisy, other, ITEM, ""], 3: ["", ITEM, "", ITEM, ""], 4: [other, part, "", ITEM, "", noisy, other],
+        5: [other, ENGLISH, f" {other} ", ENGLISH.upper(), other, ITEM, other], 6: [other, ITEM, other + ITEM[:12] + other],
+    }
+    docs = spark.createDataFrame([(i, "".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    items = spark.createDataFrame([(70, ITEM), (71, ENGLISH)], "item_id long, text string")
+    found = find_leaks(docs, items)
+    assert sorted((r["doc"], r["item"]) for r in found.collect()) == [(1, 70)] * 2 + [(2, 70)] * 3 + [(3, 70)] * 2 + [(4, 70)] * 3 + [(5, 70)] + [(5, 71)] * 2 + [(6, 70)]
+    spans = {r["doc"]: r["spans"] for r in removal_spans(found).collect()}
+    for i, pieces in texts.items():
+        at = 0
+        for k, piece in enumerate(pieces):
+            places = range(at, at := at + len(piece))
+            cut = sum(len(range(max(places.start, a), min(places.stop, b))) for a, b in spans[i])
+            # Of a passage no more than its ends stay, of the rest no more than a stretch goes.
+            assert cut >= len(piece) - 3 if k % 2 else cut <= len(ENGLISH) // 2, (i, k)
+
+
 def slow_best_fit(sizes, capacity, most):
     bins, where, opened = [], [], 0
     for s in sizes:
