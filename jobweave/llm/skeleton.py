@@ -104,12 +104,23 @@ def skeleton(text: str) -> str:
     return "".join(FOLDED.get(c, c) for c in text)
 
 
+@lru_cache(maxsize=65536)
+def _odd(char: str) -> bool:
+    """Whether the skeleton has something else in place of ``char``, or ``char`` is a separate accent
+    or a radical without a prototype in the table."""
+    return prototype(char) != char or bool(_SINGLE.match(char))
+
+
 def stand_ins(text: str) -> list[int]:
-    """Places of the characters that stand in for a plain one or cannot be seen."""
-    places = []
-    for m in _STAND_IN.finditer(text):
-        places.extend(range(m.start(), m.end()))
-    return places
+    """Places of the characters that stand in for a plain one or cannot be seen.
+
+    Each character is compared with its prototype in the skeleton; those that differ are
+    checked for what stands beside them, as a letter of another script may be meant as such.
+    """
+    odd = {c for c in set(text) if c > "\x7e" or c < " " if _odd(c)}
+    if not odd:
+        return []
+    return [k for m in _STAND_IN.finditer(text) for k in range(m.start(), m.end()) if text[k] in odd]
 
 
 RESULT = "struct<plain string, skeleton string, stand_ins int>"
@@ -120,11 +131,31 @@ def _forms(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["plain", "skeleton", "stand_ins"]).astype({"stand_ins": "Int32"})
 
 
+def _counts(texts: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None else len(stand_ins(t)) for t in texts], dtype="Int32")
+
+
 def may_differ(text: Column) -> Column:
     """False only where a text is made of plain ASCII, Han characters and common Chinese punctuation."""
     return text.rlike(_MAYBE)
 
 
+def _tall(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+    """(id_col, field_name, text): one row per row of ``df`` and field."""
+    return df.select(F.col(id_col), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])).alias("x")).select(id_col, "x.*")
+
+
+def looking_alike(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+    """(id_col, field_name, stand_ins): texts of ``df`` with characters whose prototypes in the skeleton
+    differ from them and that stand in for others or cannot be seen.
+
+    In texts left out by :func:`may_differ` every character is its own prototype. Null and
+    empty texts give no row; repeated rows give repeated rows; other columns play no part.
+    """
+    texts = spread(_tall(df, id_col, fields).where(may_differ(F.col("text"))))
+    return texts.select(id_col, "field_name", F.pandas_udf(_counts, "int")("text").alias("stand_ins")).where("stand_ins > 0")
+
+
 def with_forms(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """(id_col, field_name, text, plain, skeleton, stand_ins), one row per row of ``df`` and field.
 
@@ -134,7 +165,7 @@ def with_forms(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     plain characters among themselves matters only within :func:`equal_looking`.
     Repeated rows stay; other columns play no part.
     """
-    tall = df.select(F.col(id_col), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])).alias("x")).select(id_col, "x.*")
+    tall = _tall(df, id_col, fields)
     odd = may_differ(F.col("text"))
     forms = F.pandas_udf(_forms, RESULT)
     done = spread(tall.where(odd)).withColumn("f", forms("text")).select(id_col, "field_name", "text", "f.*")

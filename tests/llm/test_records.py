@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,6 +125,31 @@ def test_forms(spark):
     assert {(r["plain"], r["spellings"], r["rows"]) for r in equal_looking(values, "v").collect()} == {("Acme", 3, 4), ("Other", 1, 1)}
 
 
+def test_stand_ins_come_from_prototypes(spark, monkeypatch):
+    from jobweave.llm import record_queries
+    from jobweave.llm import skeleton as module
+
+    assert stand_ins("Rеtrieval") == [1]
+    monkeypatch.setattr(module, "_odd", lambda c: c == "\u200b")  # a table that knows nothing else
+    assert stand_ins("Rеtri\u200beval") == [5] and stand_ins("Ａcme") == []
+    monkeypatch.undo()
+    # What is not sent to Python is made of characters that are their own prototypes.
+    plain = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and not re.search(module._MAYBE, c)]
+    assert len(plain) > 20_000 and all(module.prototype(c) == c and not stand_ins(c) for c in plain)
+    for name in ("p6_titles", "p6_companies", "p6_descriptions"):
+        assert name in record_queries.QUERIES
+
+
+def test_every_text_is_grouped_by_its_skeleton(spark, folder):
+    from jobweave.llm.record_queries import QUERIES
+    from jobweave.sources.tables import table
+
+    for name, field in (("p6_titles", "title"), ("p6_companies", "company"), ("p6_descriptions", "description")):
+        texts = [r[0] for r in table(spark, folder, "raw_job").select(field).collect() if r[0] is not None]
+        want = {k: (len(set(g)), len(g)) for k, g in ((k, list(g)) for k, g in itertools.groupby(sorted(texts, key=skeleton), key=skeleton))}
+        assert {r["skeleton"]: (r["spellings"], r["rows"]) for r in QUERIES[name](spark, folder).collect()} == want
+
+
 ROLES = [(1, "隐私采集工程师"), (2, "矿山集成工程师"), (3, "渲染架构研究员"), (4, "Edge Integration Engineer"), (5, "Battery Platform Engineer"), (6, None)]
 
 
