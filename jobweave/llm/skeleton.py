@@ -32,6 +32,22 @@ LOOK_ALIKES = dict(
         strict=False,
     )
 )
+# More such letters; they count beside Latin letters only, as words of their own scripts consist of them.
+MORE_ALIKES = dict(
+    zip(
+        "вкмтнгпигьӀӏԌԍѵѴғҡқңһӕӔ"
+        "αεβγητυωσιπςϲϳ"
+        "աцհոգզղյքԲԳԵԻՏՀ"
+        "ᎪᏴᏟᎠᎬᎡᏀᎻᎥᎫᏦᏞᎷᏢᎡᏚᎢᏙᏔᏃᎩᏒ"
+        "ⲀⲂⲈⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲌⲁⲟⲣⲥⲭ",
+        "bkmthrnurbllGgvVfkknhæÆ"
+        "aebyntuwoinscj"
+        "wuhngqnjpFSEhSH"
+        "ABCDERGHiJKLMPRSTVWZYR"
+        "ABEHIKMNOPCTYXZaopcx",
+        strict=True,
+    )
+)
 # Radical signs without a decomposition of their own and the Han character each stands for.
 RADICALS = dict(
     zip(
@@ -44,6 +60,7 @@ RADICALS = dict(
 FOLDED = {"0": "O", "1": "l", "I": "l", "|": "l", "“": '"', "”": '"', "‘": "'", "’": "'", "—": "-", "–": "-", "・": "·", "•": "·"}
 
 _OTHER_SCRIPT = "".join(c for c in LOOK_ALIKES if ord(c) > 0x36F)
+_MORE = "".join(MORE_ALIKES)
 _CYRILLIC = "".join(c for c in LOOK_ALIKES if 0x400 <= ord(c) < 0x530)
 INVISIBLE = "\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\ufff9-\ufffb\U000e0000-\U000e0fff\\x00-\\x08\\x0e-\\x1f\\x7f-\\x84\\x86-\\x9f"
 SPACES = "\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\\x0b\\x0c"
@@ -57,11 +74,24 @@ ALWAYS = f"[{INVISIBLE}{SPACES}{MARKS}{LIGATURES}{WIDE}{STYLED}{RADICAL}]"
 # A letter of another script counts beside a Latin letter or a digit, or in a word of look-alikes only.
 BESIDE = f"[{_OTHER_SCRIPT}](?=[A-Za-z0-9])|(?<=[A-Za-z0-9])[{_OTHER_SCRIPT}]"
 ALONE = f"(?<![\\u0400-\\u052f])[{_CYRILLIC}]+(?![\\u0400-\\u052f])"
-_STAND_IN = re.compile(f"{ALWAYS}|{BESIDE}|{ALONE}")
+# Any other letter of these scripts counts beside a Latin letter; the micro sign is of no script.
+FOREIGN = "\u03e2-\u03ef\u0400-\u0481\u048a-\u052f\u0531-\u0556\u0560-\u0588\u13a0-\u13f5\u13f8-\u13fd\u1c80-\u1c8a\u2c80-\u2ce4\u2ceb-\u2cee\ua640-\ua66e\ua680-\ua69b\uab70-\uabbf"
+# Greek letters are also symbols and units (kΩ, μmol, ΔT, TNFα), so they count inside words and at the end of lower-case ones.
+GREEK = "\u0370-\u0373\u0376\u0377\u037b-\u037d\u037f\u0386\u0388-\u03a8\u03aa-\u03bb\u03bd-\u03e1\u03f0-\u03f5\u03f7-\u03ff\u1f00-\u1fbc\u1fc2-\u1fcc\u1fd0-\u1fdb\u1fe0-\u1fec\u1ff2-\u1ffc"
+UNIT = "\u03a9\u03bc\u2126"
+INSIDE = (
+    f"[{FOREIGN}](?=[A-Za-z])|(?<=[A-Za-z])[{FOREIGN}]"
+    f"|(?<=[A-Za-z])[{GREEK}](?=[A-Za-z])|(?<![A-Za-z])[{GREEK}](?=[a-z]{{3}})|(?<=[a-z]{{3}})[{GREEK}](?![A-Za-z])"
+    f"|(?<=[A-Za-z]{{2}})[{UNIT}](?=[A-Za-z])"
+)
+_STAND_IN = re.compile(f"{ALWAYS}|{BESIDE}|{ALONE}|{INSIDE}")
+_INSIDE = re.compile(INSIDE)
+_SCRIPT = re.compile(f"[{FOREIGN}{GREEK}{UNIT}]")
 _SINGLE = re.compile(ALWAYS)
 _REMOVED = re.compile(f"[{INVISIBLE}]")
 _SPACE = re.compile(f"[{SPACES}]")
 _RUN = re.compile(f"[A-Za-z0-9{_OTHER_SCRIPT}]*[{_OTHER_SCRIPT}][A-Za-z0-9{_OTHER_SCRIPT}]*")
+_WORD = re.compile(f"[A-Za-z{_OTHER_SCRIPT}{_MORE}]*[{_MORE}][A-Za-z{_OTHER_SCRIPT}{_MORE}]*")
 _MAYBE = f"[^\\x09\\x0a\\x0d\\x20-\\x7e\\u4e00-\\u9fff\\u3001-\\u301f\\uff01\\uff08\\uff09\\uff0c\\uff1a\\uff1b\\uff1f]"
 
 
@@ -76,6 +106,8 @@ def prototype(char: str) -> str:
         return RADICALS[char]
     if char in LOOK_ALIKES:
         return LOOK_ALIKES[char]
+    if char in MORE_ALIKES:
+        return MORE_ALIKES[char]
     if _SINGLE.match(char) and not unicodedata.combining(char):
         return unicodedata.normalize("NFKC", char)
     return char
@@ -89,10 +121,17 @@ def _plain_run(m: re.Match) -> str:
     return run
 
 
+def _plain_word(m: re.Match) -> str:
+    word = m.group(0)
+    if any(c in MORE_ALIKES for c in _INSIDE.findall(word)):
+        return "".join(MORE_ALIKES.get(c, c) for c in word)
+    return word
+
+
 def plain_form(text: str) -> str:
     """``text`` with every stand-in replaced by what it stands for and accents composed."""
     text = _SINGLE.sub(lambda m: m.group(0) if unicodedata.combining(m.group(0)) else prototype(m.group(0)), text)
-    return unicodedata.normalize("NFC", _RUN.sub(_plain_run, text))
+    return unicodedata.normalize("NFC", _RUN.sub(_plain_run, _WORD.sub(_plain_word, text)))
 
 
 def skeleton(text: str) -> str:
@@ -106,9 +145,9 @@ def skeleton(text: str) -> str:
 
 @lru_cache(maxsize=65536)
 def _odd(char: str) -> bool:
-    """Whether the skeleton has something else in place of ``char``, or ``char`` is a separate accent
-    or a radical without a prototype in the table."""
-    return prototype(char) != char or bool(_SINGLE.match(char))
+    """Whether the skeleton has something else in place of ``char``, or ``char`` is a separate accent,
+    or a radical or a letter of another script without a prototype in the table."""
+    return prototype(char) != char or bool(_SINGLE.match(char) or _SCRIPT.match(char))
 
 
 def stand_ins(text: str) -> list[int]:

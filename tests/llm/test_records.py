@@ -125,6 +125,19 @@ def test_forms(spark):
     assert {(r["plain"], r["spellings"], r["rows"]) for r in equal_looking(values, "v").collect()} == {("Acme", 3, 4), ("Other", 1, 1)}
 
 
+@pytest.mark.parametrize(
+    "text, plain, found",
+    [
+        ("Py\u0442hon", "Python", True), ("\u043aaf\u043aa", "kafka", True), ("Sca\u04cfa", "Scala", True), ("d\u03b1ta", "data", True), ("d\u0435v\u03b5loper", "developer", True),
+        ("\u13aapache", "Apache", True), ("\u2c9eracle", "Oracle", True), ("we\u0436b", "we\u0436b", True), ("syste\u043c", "system", True),
+        ("15 μs", "15 μs", False), ("10kΩ 5\u00b5m", "10kΩ 5\u00b5m", False), ("μmol ΔT TNFα β版本 α-test 5Ω", "μmol ΔT TNFα β版本 α-test 5Ω", False), ("бить в длинный", "бить в длинный", False), ("5 км 3к", "5 км 3к", False),
+    ],
+)
+def test_letters_of_other_scripts(text, plain, found):
+    assert (plain_form(text), bool(stand_ins(text))) == (plain, found)
+    assert skeleton(text) == skeleton(plain)
+
+
 def test_stand_ins_come_from_prototypes(spark, monkeypatch):
     from jobweave.llm import record_queries
     from jobweave.llm import skeleton as module
