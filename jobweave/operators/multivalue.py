@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from jobweave.sources.scratch import cut
 
-# Separators; full-width variants belong to the same family.
+# Separators; every subset of those in a field is a dialect.
 SEPARATORS = ("|", "｜", ",", "，", ";", "；", "、", "/", "／", "\t", "\n", "\r")
 # Opening and closing quotes.
 QUOTES = {'"': '"', "'": "'", "“": "”", "‘": "’", "「": "」", "『": "』", "＂": "＂"}
@@ -36,7 +36,6 @@ BITS_ESCAPE = 24.0  # a bare separator or quote inside a value
 BITS_CHAR = 7.0  # a character of a value the codebook does not know
 BITS_LENGTH = 8.0  # the length of such a value
 BITS_SEPARATOR = 3.0  # naming one separator of a dialect
-MAX_SUBSETS = 4  # up to so many different separators in a field, every subset is a dialect
 
 PARSES = "array<struct<dialect string, bits double, pieces array<string>>>"
 
@@ -95,10 +94,7 @@ def parses_of(field: str) -> list[tuple[str, float, list[str]]]:
     """Every different parse of ``field``: dialect, bits without those of its values, values."""
     body = _unwrap(field)
     present = [s for s in SEPARATORS if s in body]
-    if len(present) <= MAX_SUBSETS:
-        sets = [c for n in range(len(present) + 1) for c in itertools.combinations(present, n)]
-    else:
-        sets = [(), *((s,) for s in present), tuple(present)]
+    sets = [c for n in range(len(present) + 1) for c in itertools.combinations(present, n)]
     modes = (True, False) if any(c in _ANY_QUOTE for c in body) else (False,)
     best: dict[tuple[str, ...], tuple[str, float, list[str]]] = {}
     for chosen in sets:

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from jobweave.operators.multivalue import parses_of, split_field, split_values
+from jobweave.operators.multivalue import SEPARATORS, parses_of, split_field, split_values
 from jobweave.sources.tables import table
 
 CASES = [
@@ -37,6 +37,24 @@ def test_parses():
     assert costs[("a", "b")] < costs[("a,b",)]
 
 
+def test_every_subset_of_many_separators():
+    field = "a/b c|d,e;f、g，h"
+    present = [c for c in field if c in SEPARATORS]
+    got = {tuple(p) for _, _, p in parses_of(field)}
+    assert len(present) == 6 and len(got) == 2**6
+    assert ("a/b c", "d", "e", "f", "g", "h") in got  # the slash stands bare, the others separate
+
+
+def test_one_bare_separator_among_five(spark):
+    """What the codebook knows as one value is not split at its slash."""
+    rows = [(k, "TCP/IP") for k in range(500)] + [(1000, "TCP/IP|a1,b2;c3、d4")]
+    known = [(2000 + k, v) for k, v in enumerate(["a1", "b2", "c3", "d4"] * 50)]
+    got = split_values(spark.createDataFrame(rows + known, "id int, field string"), "id", "field").where("row_id = 1000")
+    parsed = {tuple(p): b for _, b, p in parses_of("TCP/IP|a1,b2;c3、d4")}
+    assert ("TCP/IP", "a1", "b2", "c3", "d4") in parsed
+    assert [r["item_value"] for r in got.orderBy("item_pos").collect()][-4:] == ["a1", "b2", "c3", "d4"]
+
+
 @pytest.mark.parametrize("name, column", [("skill", "aliases"), ("raw_job", "industry")])
 def test_whole_columns_against_a_plain_splitter(spark, folder, name, column):
     """Every stored field against a splitter that takes all separators outside quotes."""
