@@ -25,7 +25,8 @@ KINDS = ("email", "phone", "id_number", "address", "person")
 # Cue words. Those for numbers stand before the number.
 EMAIL_ANCHORS = ("@", "(at)", "[at]", "{at}", "<at>", " at ", "#at#", "艾特")
 PHONE_CUES = ("电话", "手机", "短信", "拨打", "请拨", "致电", "来电", "热线", "座机", "天打", "联系方式", "call", "text", "tel", "phone", "mobile", "cell", "fax", "whatsapp", "sms")
-PHONE_STARTS = ("+", "(", "13", "14", "15", "16", "17", "18", "19", "0086", "001", "400", "一三", "一四", "一五", "一六", "一七", "一八", "一九", "幺")
+PHONE_STARTS = ("+", "(", "13", "14", "15", "16", "17", "18", "19", "0086", "001", "400", "800", "一三", "一四", "一五", "一六", "一七", "一八", "一九", "幺")
+PHONE_DASHES = ("-",)
 ID_CUES = ("身份证", "证件", "公民号码", "ssn", "social", "holder id", "national id", "identity")
 ID_YEARS = ("19", "20")
 STREET_ANCHORS_ZH = ("号", "弄")
@@ -95,9 +96,15 @@ _BARE_PHONE = re.compile(
     rf"|\(0\d{{2,3}}\)\s?\d{{7,8}}(?:\s?(?:转|ext\.?|x)\s?\d{{1,6}})?{_STOP}"
     rf"|(?:\+|00)1[\s.-]?(?:\(\d{{3}}\)\s?|\d{{3}}[\s.-]?)\d{{3}}[\s.-]?\d{{4}}{_STOP}"
     rf"|\(\d{{3}}\)\s?\d{{3}}[-.\s]\d{{4}}{_STOP}"
+    rf"|[48]00([\s-]?)(?:\d{{3}}\2\d{{4}}|\d{{4}}\2\d{{3}}){_STOP}"
     rf"|\+\d{{1,3}}(?:[\s.-]\(?\d{{2,4}}\)?){{2,4}}{_STOP}"
     rf"|[一幺][三四五六七八九](?:[\s-]?[{_NUMERAL}]){{9}}(?![{_NUMERAL}])"
 )
+# Without a sign at their start: a landline, and area code and number of North America.
+_DASHED_PHONE = re.compile(
+    rf"0\d{{2,3}}-\d{{7,8}}(?:\s?(?:转|ext\.?|x)\s?\d{{1,6}})?{_STOP}"
+    rf"|[2-9]\d\d-[2-9]\d\d-\d{{4}}{_STOP}"
+)
 _AFTER_CUE = re.compile(r"(?:号码?|号|至|到|为|是|请|咨询|number|no\.?|us|me|at|on|or|\s|[:：.,;、，;/])*", re.I)
 
 
@@ -109,16 +116,24 @@ def _phone_after(s: str, start: int, end: int) -> tuple[int, int] | None:
     return (m.start(), m.end()) if m and not COUNTED_AFTER.match(s, m.end()) else None
 
 
-def _phone_at(s: str, start: int, end: int) -> tuple[int, int] | None:
+def _phone_at(s: str, start: int, end: int, form: re.Pattern = _BARE_PHONE) -> tuple[int, int] | None:
     before = s[start - 1] if start else " "
     if before.isascii() and (before.isalnum() or before in "-._/@#") or before in _NUMERAL:
         return None
-    m = _BARE_PHONE.match(s, start)
+    m = form.match(s, start)
     if not m or COUNTED_AFTER.match(s, m.end()) or COUNTED_BEFORE.search(s[max(0, start - 12) : start]):
         return None
     return m.start(), m.end()
 
 
+def _phone_dash(s: str, start: int, end: int) -> tuple[int, int] | None:
+    for back in (3, 4):
+        span = _phone_at(s, start - back, end, _DASHED_PHONE) if start >= back else None
+        if span:
+            return span
+    return None
+
+
 _MONTHDAY = r"(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])"
 _ID18 = re.compile(rf"(?<![0-9A-Za-z])(?<![0-9A-Za-z]-)[1-9]\d{{5}}([\s-]?)(?:19|20)\d\d{_MONTHDAY}\1\d{{3}}[0-9Xx](?![0-9A-Za-z]|-[0-9A-Za-z])")
 _ID15 = re.compile(rf"[1-9]\d{{5}}([\s-]?)\d\d{_MONTHDAY}\1\d{{3}}(?![0-9A-Za-z]|-[0-9A-Za-z])")
@@ -219,6 +234,7 @@ PARSERS: tuple[tuple[str, Parser, tuple[str, ...]], ...] = (
     ("id_number", _id_at, ID_YEARS),
     ("phone", _phone_after, PHONE_CUES),
     ("phone", _phone_at, PHONE_STARTS),
+    ("phone", _phone_dash, PHONE_DASHES),
     ("address", _street_zh, STREET_ANCHORS_ZH),
     ("address", _street_en, STREET_WORDS_EN),
     ("person", _name_zh, NAME_CUES_ZH),

@@ -35,6 +35,23 @@ def test_nothing_found(text):
     assert find_spans(text) == []
 
 
+BARE = {
+    "周末也可 400-820-8820 咨询": "周末也可 [PHONE] 咨询", "8008201234": "[PHONE]", "400 8208 820。": "[PHONE]。", "前台 0571-12345678 转接": "前台 [PHONE] 转接", "010-12345678转53": "[PHONE]",
+    "Reach us on weekdays: 415-555-0123.": "Reach us on weekdays: [PHONE].", "(415-555-0123)": "([PHONE])",
+}
+NO_PHONE = ("单表 4008201234 行", "编号 400-820-8820", "订单0571-12345678", "Part 415-555-0123", "PRJ-415-555-0123", "415-555-0123-7", "015-555-0123", "0571-12345678-9", "1400-820-8820", "9-0571-12345678", "4008201234 rows")
+
+
+@pytest.mark.parametrize("text", BARE)
+def test_bare_phones(text):
+    assert redact(text) == BARE[text]
+
+
+@pytest.mark.parametrize("text", NO_PHONE)
+def test_no_phone(text):
+    assert [k for _, _, k in find_spans(text) if k == "phone"] == []
+
+
 def test_kinds(spark):
     df = spark.createDataFrame([(1, "a@b.example 13800009413 c@d.example", "k"), (2, None, "k"), (3, "", "k"), (None, "a@b.example", "k"), (4, "x" * 50_000 + " a@b.example", "k"), (4, "a@b.example", "k")], "id int, text string, pii_kind string")
     got = sorted((r["id"] or 0, r["pii_kind"]) for r in personal_data_kinds(df, "id", "text").collect())
