@@ -20,8 +20,6 @@ from pyspark.sql import functions as F
 from jobweave.llm.skeleton import plain_form
 from jobweave.sources.scratch import cut
 
-COMMON = 0.25  # n-grams in more than this share of a list of LONG_LIST entries or more weigh nothing
-LONG_LIST = 20
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z][a-z])")
 _RUNS = re.compile(r"[a-z0-9+#]+|[一-鿿]")
 _HAN = re.compile(r"[一-鿿]")
@@ -61,9 +59,9 @@ def inverted_index(reference: DataFrame, id_col: str, name_col: str) -> DataFram
     each = reference.where(F.col(name_col).isNotNull()).select(F.col(id_col).alias("entry"), F.pandas_udf(_normal, "string")(name_col).alias("v"))
     posted = each.groupBy("entry").agg(F.min("v").alias("v")).select("entry", F.explode(F.pandas_udf(_grams, "array<string>")("v")).alias("gram"))
     size = posted.agg(F.countDistinct("entry").alias("n"))
-    rarity = F.when((F.col("n") >= LONG_LIST) & (F.col("df") > COMMON * F.col("n")), 0.0).otherwise(F.log(1 + F.col("n") / F.col("df")))
+    rarity = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = posted.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(size)).select("gram", F.pow(rarity, F.lit(2.0)).alias("weight2"))  # one row
-    index = posted.join(weighted.where("weight2 > 0"), "gram")
+    index = posted.join(weighted, "gram")
     norms = index.groupBy("entry").agg(F.sqrt(F.sum("weight2")).alias("entry_norm"))
     return index.join(norms, "entry")
 

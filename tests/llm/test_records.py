@@ -180,3 +180,15 @@ def test_canonical(spark):
     assert match_values(values, "title", roles.limit(0), "id", "role_name").where("entry is not null").count() == 0
     assert match_values(values.limit(0), "title", roles, "id", "role_name").count() == 0
     assert grams("ab 数据库") == ["^ab", "ab$", "数", "数据", "据", "据库", "库"] and normal_value("ＡｂC  x") == "abc x"
+
+
+def test_common_grams_count_at_every_list_size(spark):
+    values = spark.createDataFrame([("工程师",), ("高级工程师",), ("采购",)], "title string")
+    scores = []
+    for n in (2, 19, 20, 200):
+        roles = spark.createDataFrame([(1, "工程师")] + [(k, f"{chr(0x5000 + k)}{chr(0x6000 + k)}工程师") for k in range(2, n + 1)], "id int, role_name string")
+        got = {r["title"]: r for r in match_values(values, "title", roles, "id", "role_name", 0.43, 0.01).collect()}
+        assert {t: r["entry"] for t, r in got.items()} == {"工程师": 1, "高级工程师": 1, "采购": None}, n
+        scores.append(got["工程师"]["runner_up"])
+    # A shared common part weighs less the longer the list, without a step.
+    assert scores == sorted(scores, reverse=True) and 0 < scores[2] and scores[1] - scores[2] < 0.05
