@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from jobweave.functions.measures import analysable, clamp
 from jobweave.operators.market import BONUS_TYPES, titled, with_jobs
+from jobweave.sources.scratch import cut
 
 WEIGHTS = {"skill": 0.40, "internship": 0.18, "project": 0.15, "stack": 0.12, "level": 0.09, "education": 0.06}
+# Stages without a stated lack, the last stage, and the tiers of a plan from the first to the last.
+GENERAL_STAGES = ("岗位基础规范", "核心工具链", "岗位专项能力", "业务场景交付", "复盘表达")
 PROJECT_STAGE = "岗位综合项目"
+TIERS = ("第一层：岗位基础", "第二层：核心技能", "进阶层：专项突破", "冲刺层：场景协作", "顶层：岗位作品")
 
 
 def requirements(skills: DataFrame, jobs: DataFrame, top: int = 60) -> DataFrame:
@@ -24,50 +28,84 @@ def requirements(skills: DataFrame, jobs: DataFrame, top: int = 60) -> DataFrame
     return ranked.select("role", "skill_name", kind.alias("kind"), F.round(clamp(share, 0.08, 1.0) * F.when(untyped, 0.72).otherwise(1.0), 6).alias("importance"))
 
 
-def requirement_maps(needs: DataFrame) -> DataFrame:
-    """(role, required, bonus): maps of skill to importance; at most the top skills of a role each."""
-    grouped = needs.groupBy("role").agg(F.map_from_entries(F.collect_list(F.struct("skill_name", F.struct("kind", "importance")))).alias("m"))
-    part = lambda k: F.transform_values(F.map_filter("m", lambda s, v: v["kind"] == k), lambda s, v: v["importance"])
-    return grouped.select("role", part("REQUIRED").alias("required"), part("BONUS").alias("bonus"))
+def skill_rows(profiles: DataFrame) -> DataFrame:
+    """(id, skill, in_projects, internships): what each profile's texts say about each of its skills.
 
-
-def match_score(skills: Column, required: Column, bonus: Column, projects: Column, years: Column, level: Column, education: Column, internships: Column, relevant: Column) -> dict[str, Column]:
-    """The six part scores and the overall one, as column expressions over arrays and maps."""
-    total = F.aggregate(F.map_values(required), F.lit(0.0), lambda a, v: a + v)
-    hit = F.aggregate(F.map_values(F.map_filter(required, lambda k, v: F.array_contains(skills, k))), F.lit(0.0), lambda a, v: a + v)
-    extra = F.size(F.array_intersect(F.map_keys(bonus), skills))
-    skill = F.least(F.lit(100.0), F.when(total == 0, 0.0).otherwise(100 * hit / total) + F.least(F.lit(8), extra * 2))
-    low = F.lower(F.coalesce(projects, F.lit("")))
-    named = F.size(F.filter(skills, lambda s: F.contains(low, F.lower(s))))
-    stacks = F.size(F.array_distinct(F.transform(skills, lambda s: F.split(s, " ")[0])))
+    ``profiles`` has id, skills, projects (one text) and internships (an array of texts);
+    ``internships`` of a row are the places of the texts that name the skill, case ignored.
+    """
+    low = profiles.select("id", "skills", F.lower(F.coalesce("projects", F.lit(""))).alias("p"), F.transform(F.coalesce("internships", F.array().cast("array<string>")), F.lower).alias("i"))
+    each = low.select("id", "p", "i", F.explode(F.array_distinct("skills")).alias("skill")).where(F.trim("skill") != "")
+    word = F.lower("skill")
+    places = F.when(F.size("i") > 0, F.filter(F.transform("i", lambda t, k: F.when(F.contains(t, word), k)), lambda k: k.isNotNull()))
+    return each.select("id", "skill", F.contains("p", word).alias("in_projects"), places.alias("internships"))
+
+
+def profile_parts(profiles: DataFrame, rows: DataFrame) -> DataFrame:
+    """(id, years, internships, project, stack, education, own): the parts of the score that no role changes, once per profile."""
+    own = rows.groupBy("id").agg(
+        F.count_if("in_projects").alias("named"), F.countDistinct(F.split("skill", " ")[0]).alias("stacks"), F.collect_list(F.struct("skill", "internships")).alias("own")
+    )  # at most the dictionary
+    education = F.when(F.col("education").isNull(), 60.0).when(F.col("education").rlike("硕士|博士"), 95.0).when(F.contains("education", F.lit("本科")), 88.0).otherwise(72.0)
+    told = profiles.select("id", F.coalesce("years", F.lit(0.0)).alias("years"), F.greatest(F.size("internships"), F.lit(0)).alias("internships"), education.alias("education")).dropDuplicates(["id"])
+    full = lambda v: F.least(F.lit(100.0), v)
+    return told.join(own, "id").select("id", "years", "internships", full(35.0 + F.col("named") * 10).alias("project"), full(45.0 + F.col("stacks") * 3).alias("stack"), "education", "own")
+
+
+def role_totals(needs: DataFrame, levels: DataFrame) -> DataFrame:
+    """(role, total, required, expected): weight of the required skills, their names and the years the role's level expects."""
+    wanted = F.col("kind") == "REQUIRED"
+    per = needs.groupBy("role").agg(F.sum(F.when(wanted, _micro()).otherwise(F.lit(0))).alias("total"), F.sort_array(F.collect_set(F.when(wanted, F.col("skill_name")))).alias("required"))
+    level = F.coalesce("level", F.lit(""))
     expected = F.when(F.contains(level, F.lit("高")), 5.0).when(F.contains(level, F.lit("中")), 3.0).otherwise(1.0)
-    edu = F.when(education.isNull(), 60.0).when(education.rlike("硕士|博士"), 95.0).when(F.contains(education, F.lit("本科")), 88.0).otherwise(72.0)
-    parts = {
-        "skill": skill,
-        "internship": F.least(F.lit(100.0), 30.0 + internships * 15 + relevant * 5),
-        "project": F.least(F.lit(100.0), 35.0 + named * 10),
-        "stack": F.least(F.lit(100.0), 45.0 + stacks * 3),
-        "level": F.least(F.lit(100.0), 60 + F.least(years, expected) / expected * 40),
-        "education": edu,
-    }
-    overall = sum((WEIGHTS[k] * v for k, v in list(parts.items())[1:]), WEIGHTS["skill"] * skill)
-    return {"overall": F.round(overall + 1e-9, 1)} | {k: F.round(v, 1) for k, v in parts.items()}
-
-
-def match_profiles(profiles: DataFrame, roles: DataFrame, k: int = 5) -> DataFrame:
-    """The ``k`` best roles of each profile that shares a skill with them, with part scores and what is missing.
-
-    Pairs come from shared skills, so no profile meets every role. ``profiles`` has id, skills,
-    projects, years, level, education, internships and relevant.
+    return per.join(levels.select("role", expected.alias("expected")).groupBy("role").agg(F.max("expected").alias("expected")), "role", "left").withColumn("expected", F.coalesce("expected", F.lit(1.0)))
+
+
+def _micro() -> Column:
+    """Importance in millionths, so that sums do not depend on the order of rows."""
+    return F.round(F.col("importance") * 1_000_000).cast("long")
+
+
+def match_profiles(profiles: DataFrame, needs: DataFrame, levels: DataFrame, k: int = 5, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The ``k`` best roles of each profile that shares a skill with them: part scores, and the required skills it lacks.
+
+    ``profiles`` has id, skills, projects, internships (texts), years and education; ``needs``
+    those of :func:`requirements`, ``levels`` (role, level). Pairs come from shared skills, so
+    no profile meets every role. What depends on the profile alone is computed once, texts
+    stay behind, and one aggregation of the shared-skill join gives what is found of each
+    role. Profiles are shuffled once, by id: with the requirements broadcast (up to
+    ``broadcast_rows`` rows, joined by skill beyond) aggregation and ranking keep that
+    partitioning. Profiles without skills and roles without requirements give no row; repeated
+    ids count once.
     """
-    wanted = roles.select("role", F.explode(F.array_union(F.map_keys("required"), F.map_keys("bonus"))).alias("s"))
-    pairs = profiles.select("id", F.explode("skills").alias("s")).join(wanted, "s").select("id", "role").distinct()
-    joined = pairs.join(profiles, "id").join(roles, "role")
+    # Both are read several times below, and are small beside the texts and postings they come from.
+    parts, needs = cut(profile_parts(profiles, skill_rows(profiles))), cut(needs)
+    small = needs.limit(broadcast_rows + 1).count() <= broadcast_rows
+    near = F.broadcast if small else lambda df: df
+    totals = role_totals(needs, levels)
+    wanted = needs.select("role", F.col("skill_name").alias("skill"), (F.col("kind") == "REQUIRED").alias("required"), _micro().alias("weight"))
+    fixed = ["years", "internships", "project", "stack", "education"]
+    each = parts.repartition("id").select("id", *fixed, F.explode("own").alias("o")).select("id", *fixed, "o.skill", F.col("o.internships").alias("named_in"))
+    pairs = each.join(near(wanted), "skill").groupBy("id", "role", *fixed).agg(
+        F.sum(F.when(F.col("required"), F.col("weight")).otherwise(F.lit(0))).alias("hit"),
+        F.count_if(~F.col("required")).alias("bonus"),
+        F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("required"), F.col("named_in")))))).alias("relevant"),
+    )
     c = F.col
-    scores = match_score(c("skills"), c("required"), c("bonus"), c("projects"), c("years"), c("level"), c("education"), c("internships"), c("relevant"))
-    scored = joined.select("id", "role", *[v.alias(n) for n, v in scores.items()], F.sort_array(F.array_except(F.map_keys("required"), c("skills"))).alias("missing"))
-    w = Window.partitionBy("id").orderBy(F.desc("overall"), F.asc("role"))
-    return scored.withColumn("place", F.row_number().over(w)).where(c("place") <= k)
+    full = lambda v: F.least(F.lit(100.0), v)
+    scored = pairs.join(near(totals.select("role", "total", "expected")), "role").select(
+        "id", "role", "project", "stack", "education",
+        full(F.when(c("total") == 0, 0.0).otherwise(100.0 * c("hit") / c("total")) + F.least(F.lit(8), c("bonus") * 2)).alias("skill"),
+        full(30.0 + c("internships") * 15 + c("relevant") * 5).alias("internship"),
+        full(60 + F.least("years", "expected") / c("expected") * 40).alias("level"),
+    )
+    overall = sum((w * c(n) for n, w in list(WEIGHTS.items())[1:]), WEIGHTS["skill"] * c("skill"))
+    scored = scored.withColumn("overall", F.round(overall + 1e-9, 1))
+    order = Window.partitionBy("id").orderBy(F.desc("overall"), F.asc("role"))
+    best = scored.withColumn("place", F.row_number().over(order)).where(c("place") <= k)
+    lacking = F.array_except("required", F.col("own.skill"))
+    best = best.join(parts.select("id", "own"), "id").join(near(totals.select("role", "required")), "role")
+    return best.select("id", "role", "overall", *[F.round(n, 1).alias(n) for n in WEIGHTS], "place", lacking.alias("missing"))
 
 
 def confusion(pairs: DataFrame, score: str, label: str, match: float = 70, partial: float = 55) -> DataFrame:
@@ -77,11 +115,25 @@ def confusion(pairs: DataFrame, score: str, label: str, match: float = 70, parti
     return pairs.groupBy(F.col(label).alias("label"), band.alias("band")).agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(F.abs(F.col(score) - middle)), 4).alias("error"))
 
 
+def with_prerequisites(df: DataFrame, id_col: str, skills: str, prerequisites: DataFrame) -> DataFrame:
+    """(id_col, skills): the skills of each row in order, each behind its direct prerequisites, every name once.
+
+    ``prerequisites`` has (skill, place, prerequisite). A row without skills gets the general
+    stages of :data:`GENERAL_STAGES`.
+    """
+    direct = prerequisites.groupBy("skill").agg(F.transform(F.sort_array(F.collect_set(F.struct("place", "prerequisite"))), lambda x: x["prerequisite"]).alias("before"))
+    each = df.select(id_col, F.posexplode(skills).alias("k", "skill")).join(direct, "skill", "left")
+    steps = F.concat(F.coalesce("before", F.array().cast("array<string>")), F.array("skill"))
+    ordered = each.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("k", steps.alias("s")))).alias("l")).select(id_col, F.array_distinct(F.flatten("l.s")).alias("steps"))
+    general = F.array(*[F.lit(s) for s in GENERAL_STAGES])
+    return df.select(id_col).join(ordered, id_col, "left").select(id_col, F.coalesce("steps", general).alias("skills"))
+
+
 def learning_plan(df: DataFrame, id_col: str, skills: Column, weeks: Column, hours: Column) -> DataFrame:
-    """(id_col, stage, skill, first_week, last_week, hours): weeks shared out over skills and a final project.
+    """(id_col, stage, skill, tier, priority, first_week, last_week, hours): weeks shared out over skills and a final project.
 
     Weeks are held within 1 to 52, hours within 1 to 40; the number of stages follows from the
-    weeks, the last stages take the remainder.
+    weeks, the last stages take the remainder. Tier and priority follow from the stage's place.
     """
     w, h = F.least(F.greatest(weeks, F.lit(1)), F.lit(52)), F.least(F.greatest(hours, F.lit(1)), F.lit(40))
     stages = F.when(w >= 16, 7).when(w >= 10, 6).when(w >= 6, 5).otherwise(F.greatest(F.lit(2), w))
@@ -95,4 +147,7 @@ def learning_plan(df: DataFrame, id_col: str, skills: Column, weeks: Column, hou
     first = F.col("k") * F.col("base") + late + 1
     size = F.col("base") + F.when(F.col("k") >= F.col("n") - F.col("rest"), 1).otherwise(0)
     last = F.when(F.col("k") == F.col("n") - 1, F.col("w")).otherwise(F.least(F.col("w"), first + size - 1))
-    return each.select(id_col, (F.col("k") + 1).alias("stage"), "skill", first.alias("first_week"), last.alias("last_week"), F.greatest(F.col("h"), (last - first + 1) * F.col("h")).alias("hours")).where(F.col("first_week") <= F.col("last_week"))
+    tier = F.when(F.col("k") == 0, TIERS[0]).when(F.col("k") == 1, TIERS[1]).when(F.col("k") == F.col("n") - 1, TIERS[4]).when(F.col("k") == F.col("n") - 2, TIERS[3]).otherwise(TIERS[2])
+    priority = F.when(F.col("k") <= 1, "P0").when(F.col("skill") == PROJECT_STAGE, "P2").otherwise("P1")
+    planned = each.select(id_col, (F.col("k") + 1).alias("stage"), "skill", tier.alias("tier"), priority.alias("priority"), first.alias("first_week"), last.alias("last_week"), F.greatest(F.col("h"), (last - first + 1) * F.col("h")).alias("hours"))
+    return planned.where(F.col("first_week") <= F.col("last_week"))

@@ -9,8 +9,10 @@ from jobweave.operators import documents as D
 from jobweave.operators import extraction as X
 from jobweave.operators import governance as G
 from jobweave.operators import matching as M
+from jobweave.functions.measures import analysable, blank_null
 from jobweave.functions.text import lowered
 from jobweave.functions.titles import clean_title, plausible_title
+from jobweave.operators.listings import dominant
 from jobweave.operators.market import run_plan
 from jobweave.operators.multivalue import split_values
 from jobweave.operators.resume import parse_profiles
@@ -21,6 +23,10 @@ from jobweave.plans.sql import all_blank_trim
 from jobweave.sources.tables import table
 from jobweave.streaming import events as E
 
+# Where sentences end, and what tells projects and internships apart.
+SENTENCE_END = r"[。；;\n]|\. "
+PROJECT_WORD, INTERN_WORD = r"项目|project|The candidate", r"实习|\b[Ii]ntern\b"
+
 
 def _resumes(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "documents").where("doc_kind = 'resume'").select("doc_id", "text")
@@ -49,30 +55,59 @@ def extraction_agreement(s: SparkSession, d: str) -> DataFrame:
 
 
 def profiles(s: SparkSession, d: str) -> DataFrame:
-    """Profiles out of running text: skills, longest stated years, education, internships."""
+    """Profiles out of running text: skills, texts on projects and internships, longest stated years, education."""
     resumes = _resumes(s, d)
     named = table(s, d, "skill").select(F.col("id").alias("skill_id"), "canonical_name")
-    found = X.skill_mentions(resumes, _names(s, d), "doc_id", "text").join(named, "skill_id")
+    found = X.skill_mentions(resumes, _names(s, d), "doc_id", "text").join(F.broadcast(named), "skill_id")  # as many rows as the dictionary, whose size is checked there
     skills = found.groupBy("doc_id").agg(F.sort_array(F.collect_set("canonical_name")).alias("skills"))  # at most the dictionary
     years = F.coalesce(F.array_max(F.transform(F.regexp_extract_all("text", F.lit(r"(?:做了|spent )([0-9]{1,2})(?:年| years)"), F.lit(1)), lambda y: y.cast("double"))), F.lit(0.0))
     education = F.when(F.col("text").rlike("博士|硕士"), "硕士").when(F.contains("text", F.lit("本科")), "本科")
-    interns = F.regexp_count("text", F.lit("实习|intern"))
-    return resumes.join(skills, "doc_id").select(F.col("doc_id").alias("id"), "skills", F.col("text").alias("projects"), years.alias("years"), education.alias("education"), interns.alias("internships"), F.lit(0).alias("relevant"), F.lit("中级").alias("level"))
+    told = F.split("text", SENTENCE_END)
+    return resumes.join(skills, "doc_id").select(
+        F.col("doc_id").alias("id"), "skills", F.array_join(F.filter(told, lambda t: t.rlike(PROJECT_WORD)), "\n").alias("projects"),
+        F.filter(told, lambda t: t.rlike(INTERN_WORD)).alias("internships"), years.alias("years"), education.alias("education"),
+    )
 
 
 def _needs(s: SparkSession, d: str) -> DataFrame:
     return M.requirements(table(s, d, "governed_skill"), table(s, d, "governed"))
 
 
+def _levels(s: SparkSession, d: str) -> DataFrame:
+    """(role, level): that of the reference list, else the most frequent one of the role's postings."""
+    listed = table(s, d, "job_role").select(F.trim("role_name").alias("role"), blank_null("level_name").alias("listed")).where("listed is not null")
+    usual = dominant(table(s, d, "governed").where(analysable()), blank_null("title_standard"), "level_name").select(F.col("key").alias("role"), F.col("value").alias("usual"))
+    return usual.join(listed, "role", "full_outer").select("role", F.coalesce("listed", "usual").alias("level"))
+
+
+def _matches(s: SparkSession, d: str) -> DataFrame:
+    return M.match_profiles(profiles(s, d), _needs(s, d), _levels(s, d))
+
+
 def matched_profiles(s: SparkSession, d: str) -> DataFrame:
-    return M.match_profiles(profiles(s, d), M.requirement_maps(_needs(s, d))).select("id", "role", "overall", "skill", "internship", "project", "stack", "level", "education", "place", F.size("missing").alias("missing"))
+    return _matches(s, d).withColumn("missing", F.size("missing"))
+
+
+def match_confusion(s: SparkSession, d: str) -> DataFrame:
+    """Bands of the best listed roles of each profile against the role its document was written for."""
+    roles = table(s, d, "job_role").select(F.col("id").alias("role_id"), F.trim("role_name").alias("own"))
+    needs = _needs(s, d).join(F.broadcast(roles.select(F.col("own").alias("role"))), "role", "left_semi")
+    meant = table(s, d, "documents").where("role_id is not null").select(F.col("doc_id").alias("id"), "role_id").join(F.broadcast(roles), "role_id")
+    judged = M.match_profiles(profiles(s, d), needs, _levels(s, d)).join(meant, "id")
+    return M.confusion(judged.withColumn("label", F.when(F.col("role") == F.col("own"), "match").otherwise("mismatch")), "overall", "label")
+
+
+def prerequisites(s: SparkSession, d: str) -> DataFrame:
+    """(skill, place, prerequisite): a framework builds on the first language of its stack in the skill list."""
+    skills = table(s, d, "skill").where("canonical_name is not null").select("id", "canonical_name", "tech_stack", "category")
+    languages = skills.where("category = '语言'").groupBy("tech_stack").agg(F.min_by("canonical_name", "id").alias("prerequisite"))
+    return skills.where("category = '框架'").join(languages, "tech_stack").select(F.col("canonical_name").alias("skill"), F.lit(1).alias("place"), "prerequisite")
 
 
 def learning_plans(s: SparkSession, d: str) -> DataFrame:
-    """Plans for the skills of each role of the reference list with its id as weeks and hours."""
-    skills = F.array_sort(F.filter(F.split(F.regexp_replace("normalized_name", r"(.)", "$1,"), ","), lambda c: F.trim(c) != ""))
-    roles = table(s, d, "job_role").select("id", "normalized_name")
-    return M.learning_plan(roles, "id", F.slice(skills, 1, 9), F.pmod("id", F.lit(60)).cast("int"), F.pmod("id", F.lit(45)).cast("int"))
+    """Twelve weeks of eight hours for what each profile lacks for its best role, prerequisites first."""
+    best = _matches(s, d).where("place = 1").select("id", "missing")
+    return M.learning_plan(M.with_prerequisites(best, "id", "missing", prerequisites(s, d)), "id", F.col("skills"), F.lit(12), F.lit(8))
 
 
 def documents_quality(s: SparkSession, d: str) -> DataFrame:
@@ -98,7 +133,8 @@ QUERIES = {
     "confidence_bands": lambda s, d: X.confidence_bands(table(s, d, "governed_skill")),
     "requirement_snapshot": _needs,
     "matched_profiles": matched_profiles,
-    "match_confusion": lambda s, d: M.confusion(matched_profiles(s, d).withColumn("label", F.when(F.col("skill") >= 80, "match").when(F.col("skill") > 20, "partial").otherwise("mismatch")), "overall", "label"),
+    "match_confusion": match_confusion,
+    "profile_skills": lambda s, d: M.skill_rows(profiles(s, d)).select("id", "skill", "in_projects", F.coalesce(F.size("internships"), F.lit(0)).alias("internships")),
     "learning_plans": learning_plans,
     "html_texts": lambda s, d: table(s, d, "raw_job").select("id", D.html_to_text(F.col("description")).alias("plain")),
     "source_hosts": lambda s, d: table(s, d, "raw_job").select("id", D.host_of(F.col("source_reference")).alias("host"), D.private_host(F.col("source_reference")).alias("private")),
@@ -127,15 +163,21 @@ _NEEDS = f"""SELECT role, skill_name, CASE WHEN b > r THEN 'BONUS' ELSE 'REQUIRE
   (SELECT *, max(s) OVER (PARTITION BY role) AS m FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY s DESC, skill_name) AS place FROM (SELECT trim(title_standard) AS role, skill_name, round(sum(support), 6) AS s,
   sum(CASE WHEN kind = 'REQUIRED' THEN support ELSE 0 END) AS r, sum(CASE WHEN kind IN ('BONUS', 'PREFERRED') THEN support ELSE 0 END) AS b FROM {JOINED} WHERE {TITLED} GROUP BY trim(title_standard), skill_name)) WHERE place <= 60)"""
 _FOUND = _mentions("(SELECT doc_id, text FROM documents WHERE doc_kind = 'resume')", "doc_id", "text")
-_MATCHED = f"""WITH n AS ({_NEEDS}), f AS (SELECT DISTINCT m.doc_id AS id, k.canonical_name AS s FROM {_FOUND} m JOIN skill k ON m.skill_id = k.id),
-p AS (SELECT d.doc_id AS id, coalesce(list_max(list_transform(regexp_extract_all(d.text, '(?:做了|spent )([0-9]{{1,2}})(?:年| years)', 1), lambda y: CAST(y AS DOUBLE))), 0) AS years, CASE WHEN regexp_matches(text, '博士|硕士') THEN 95.0::DOUBLE WHEN contains(text, '本科') THEN 88.0::DOUBLE ELSE 60.0::DOUBLE END AS edu,
-  len(regexp_extract_all(text, '实习|intern')) AS interns, lower(text) AS low FROM documents d WHERE doc_kind = 'resume'),
-g AS (SELECT f.id, count(DISTINCT split_part(s, ' ', 1)) AS stacks, count(*) FILTER (contains(p.low, lower(s))) AS named FROM f JOIN p USING (id) GROUP BY 1),
-pairs AS (SELECT DISTINCT f.id, n.role FROM f JOIN n ON f.s = n.skill_name),
-sc AS (SELECT pairs.id, pairs.role, sum(CASE WHEN kind = 'REQUIRED' THEN importance ELSE 0 END) AS total, sum(CASE WHEN kind = 'REQUIRED' AND f.s IS NOT NULL THEN importance ELSE 0 END) AS hit, count(*) FILTER (kind = 'BONUS' AND f.s IS NOT NULL) AS extra,
-  count(*) FILTER (kind = 'REQUIRED' AND f.s IS NULL) AS missing FROM pairs JOIN n ON n.role = pairs.role LEFT JOIN f ON f.id = pairs.id AND f.s = n.skill_name GROUP BY 1, 2),
-q AS (SELECT sc.id, sc.role, sc.missing, least(100.0::DOUBLE, CASE WHEN total = 0 THEN 0 ELSE 100 * hit / total END + least(8, extra * 2)) AS skill, least(100.0::DOUBLE, 30 + interns * 15) AS internship, least(100.0::DOUBLE, 35 + named * 10) AS project,
-  least(100.0::DOUBLE, 45 + stacks * 3) AS stack, least(100.0::DOUBLE, 60 + least(years, 3.0::DOUBLE) / 3.0::DOUBLE * 40) AS level, edu AS education FROM sc JOIN p USING (id) JOIN g USING (id)),
+_PROFILE = f"""f AS (SELECT DISTINCT m.doc_id AS id, k.canonical_name AS s FROM {_FOUND} m JOIN skill k ON m.skill_id = k.id),
+p AS (SELECT doc_id AS id, coalesce(list_max(list_transform(regexp_extract_all(text, '(?:做了|spent )([0-9]{{1,2}})(?:年| years)', 1), lambda y: CAST(y AS DOUBLE))), 0) AS years, CASE WHEN regexp_matches(text, '博士|硕士') THEN 95.0::DOUBLE WHEN contains(text, '本科') THEN 88.0::DOUBLE ELSE 60.0::DOUBLE END AS edu,
+  list_filter(string_split_regex(lower(text), '{SENTENCE_END}'), lambda t: regexp_matches(t, '{INTERN_WORD}')) AS interns, array_to_string(list_filter(string_split_regex(text, '{SENTENCE_END}'), lambda t: regexp_matches(t, '{PROJECT_WORD}')), chr(10)) AS projects FROM documents WHERE doc_kind = 'resume'),
+ps AS (SELECT f.id, f.s, contains(lower(p.projects), lower(f.s)) AS in_projects, list_filter(range(0, len(interns)), lambda k: contains(interns[k + 1], lower(f.s))) AS named_in FROM f JOIN p USING (id))"""
+_GENERAL = "', '".join(M.GENERAL_STAGES)
+_MATCHED = f"""WITH {_PROFILE}, n AS ({_NEEDS}),
+lv AS (SELECT coalesce(u.role, j.role) AS role, coalesce(listed, usual) AS level FROM (SELECT key AS role, arg_min(value, (-n, value)) AS usual FROM (SELECT nullif(trim(title_standard), '') AS key, nullif(trim(level_name), '') AS value, count(*) AS n FROM zhitu_governed_job WHERE {OK} GROUP BY 1, 2) WHERE key IS NOT NULL AND value IS NOT NULL GROUP BY 1) u
+  FULL JOIN (SELECT trim(role_name) AS role, nullif(trim(level_name), '') AS listed FROM job_role WHERE nullif(trim(level_name), '') IS NOT NULL) j ON u.role = j.role),
+g AS (SELECT id, count(DISTINCT split_part(s, ' ', 1)) AS stacks, count(*) FILTER (in_projects) AS named FROM ps GROUP BY 1),
+rel AS (SELECT id, role, count(DISTINCT k) AS relevant FROM (SELECT ps.id, n.role, unnest(ps.named_in) AS k FROM ps JOIN n ON n.skill_name = ps.s WHERE n.kind = 'REQUIRED') GROUP BY 1, 2),
+hits AS (SELECT ps.id, n.role, sum(CASE WHEN kind = 'REQUIRED' THEN CAST(round(importance * 1000000) AS BIGINT) ELSE 0 END) AS hit, count(*) FILTER (kind = 'REQUIRED') AS got, count(*) FILTER (kind = 'BONUS') AS extra FROM ps JOIN n ON n.skill_name = ps.s GROUP BY 1, 2),
+t AS (SELECT role, sum(CASE WHEN kind = 'REQUIRED' THEN CAST(round(importance * 1000000) AS BIGINT) ELSE 0 END) AS total, count(*) FILTER (kind = 'REQUIRED') AS wanted FROM n GROUP BY 1),
+ex AS (SELECT role, max(CASE WHEN contains(coalesce(level, ''), '高') THEN 5.0::DOUBLE WHEN contains(coalesce(level, ''), '中') THEN 3.0::DOUBLE ELSE 1.0::DOUBLE END) AS expected FROM lv GROUP BY 1),
+q AS (SELECT h.id, h.role, t.wanted - h.got AS missing, least(100.0::DOUBLE, CASE WHEN total = 0 THEN 0 ELSE 100.0::DOUBLE * hit / total END + least(8, extra * 2)) AS skill, least(100.0::DOUBLE, 30 + len(interns) * 15 + coalesce(relevant, 0) * 5) AS internship, least(100.0::DOUBLE, 35 + named * 10) AS project,
+  least(100.0::DOUBLE, 45 + stacks * 3) AS stack, least(100.0::DOUBLE, 60 + least(years, coalesce(expected, 1.0::DOUBLE)) / coalesce(expected, 1.0::DOUBLE) * 40) AS level, edu AS education FROM hits h JOIN t USING (role) LEFT JOIN ex USING (role) JOIN p USING (id) JOIN g USING (id) LEFT JOIN rel ON rel.id = h.id AND rel.role = h.role),
 o AS (SELECT id, role, round(0.40::DOUBLE * skill + 0.18::DOUBLE * internship + 0.15::DOUBLE * project + 0.12::DOUBLE * stack + 0.09::DOUBLE * level + 0.06::DOUBLE * education + 1e-9, 1) AS overall, round(skill, 1) AS skill, round(internship, 1) AS internship, round(project, 1) AS project,
   round(stack, 1) AS stack, round(level, 1) AS level, round(education, 1) AS education, missing FROM q),
 matched AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY overall DESC, role) AS place FROM o) WHERE place <= 5)"""
@@ -161,14 +203,18 @@ SQL = {
     "confidence_bands": "SELECT coalesce(origin_type, '') AS origin, CASE WHEN confidence >= 0.9 THEN 'high' WHEN confidence >= 0.8 THEN 'middle' WHEN confidence IS NOT NULL THEN 'low' ELSE 'none' END AS band, count(*) AS rows FROM zhitu_governed_job_skill GROUP BY 1, 2",
     "requirement_snapshot": _NEEDS,
     "matched_profiles": f"{_MATCHED} SELECT id, role, overall, skill, internship, project, stack, level, education, place, missing FROM matched",
-    "match_confusion": f"""{_MATCHED} SELECT label, band, count(*) AS pairs, round(avg(abs(overall - CASE label WHEN 'match' THEN 85.0::DOUBLE WHEN 'partial' THEN 62.5::DOUBLE ELSE 27.5::DOUBLE END)), 4) AS error FROM
-      (SELECT *, CASE WHEN skill >= 80 THEN 'match' WHEN skill > 20 THEN 'partial' ELSE 'mismatch' END AS label, CASE WHEN overall >= 70 THEN 'match' WHEN overall >= 55 THEN 'partial' ELSE 'mismatch' END AS band FROM matched) GROUP BY 1, 2""",
-    "learning_plans": f"""WITH r AS (SELECT id, list_slice(list_distinct(list_slice(list_sort(list_filter(string_split(normalized_name, ''), lambda c: trim(c, ' ') <> '')), 1, 9)), 1, 99) AS raw, least(greatest(id % 60, 1), 52)::INT AS w, least(greatest(id % 45, 1), 40)::INT AS h FROM job_role),
-      a AS (SELECT id, list_sort(raw) AS s, w, h, CASE WHEN w >= 16 THEN 7 WHEN w >= 10 THEN 6 WHEN w >= 6 THEN 5 ELSE greatest(2, w) END AS target FROM r WHERE len(raw) > 0),
-      b AS (SELECT id, w, h, list_concat(list_slice(s, 1, greatest(1, least(target - CASE WHEN w > 1 THEN 1 ELSE 0 END, len(s)))), CASE WHEN w > 1 THEN ['{M.PROJECT_STAGE}'] ELSE [] END) AS s FROM a),
-      c AS (SELECT *, len(s) AS n, greatest(1, w // len(s)) AS base FROM b), d AS (SELECT *, greatest(0, w - base * n) AS rest FROM c), e AS (SELECT *, unnest(s) AS skill, unnest(range(0, n)) AS k FROM d),
-      f AS (SELECT *, k * base + greatest(0, k - (n - rest)) + 1 AS first_week, base + CASE WHEN k >= n - rest THEN 1 ELSE 0 END AS size FROM e), g AS (SELECT *, CASE WHEN k = n - 1 THEN w ELSE least(w, first_week + size - 1) END AS last_week FROM f)
-      SELECT id, k + 1 AS stage, skill, first_week, last_week, greatest(h, (last_week - first_week + 1) * h) AS hours FROM g WHERE first_week <= last_week""",
+    "profile_skills": f"WITH {_PROFILE} SELECT id, s AS skill, in_projects, len(named_in) AS internships FROM ps",
+    "match_confusion": f"""{_MATCHED.replace(_NEEDS, f"SELECT * FROM ({_NEEDS}) WHERE role IN (SELECT trim(role_name) FROM job_role)")} SELECT label, band, count(*) AS pairs, round(avg(abs(overall - CASE label WHEN 'match' THEN 85.0::DOUBLE ELSE 27.5::DOUBLE END)), 4) AS error FROM
+      (SELECT m.*, CASE WHEN m.role = trim(r.role_name) THEN 'match' ELSE 'mismatch' END AS label, CASE WHEN overall >= 70 THEN 'match' WHEN overall >= 55 THEN 'partial' ELSE 'mismatch' END AS band FROM matched m JOIN documents d ON d.doc_id = m.id JOIN job_role r ON r.id = d.role_id) GROUP BY 1, 2""",
+    "learning_plans": f"""{_MATCHED}, lacking AS (SELECT b.id, n.skill_name AS s, row_number() OVER (PARTITION BY b.id ORDER BY n.skill_name) AS k FROM matched b JOIN n ON n.role = b.role AND n.kind = 'REQUIRED' LEFT JOIN ps ON ps.id = b.id AND ps.s = n.skill_name WHERE b.place = 1 AND ps.s IS NULL),
+      pre AS (SELECT f.canonical_name AS s, l.prerequisite FROM skill f JOIN (SELECT tech_stack, arg_min(canonical_name, id) AS prerequisite FROM skill WHERE category = '语言' AND canonical_name IS NOT NULL GROUP BY 1) l USING (tech_stack) WHERE f.category = '框架' AND f.canonical_name IS NOT NULL),
+      steps AS (SELECT id, k, 0 AS j, prerequisite AS s FROM lacking JOIN pre USING (s) UNION ALL SELECT id, k, 1, s FROM lacking UNION ALL SELECT id, i, 1, (['{_GENERAL}'])[i] FROM matched, range(1, 6) g(i) WHERE place = 1 AND id NOT IN (SELECT id FROM lacking)),
+      firsts AS (SELECT id, s, row_number() OVER (PARTITION BY id ORDER BY min((k, j))) AS k FROM steps GROUP BY id, s),
+      kept AS (SELECT id, s, k - 1 AS k FROM firsts WHERE k <= 5 UNION ALL SELECT id, '{M.PROJECT_STAGE}', least(5, max(k)) FROM firsts GROUP BY id),
+      sized AS (SELECT *, count(*) OVER (PARTITION BY id) AS n FROM kept), c AS (SELECT *, 12 // n AS base, 12 - 12 // n * n AS rest FROM sized),
+      f2 AS (SELECT *, k * base + greatest(0, k - (n - rest)) + 1 AS first_week, base + CASE WHEN k >= n - rest THEN 1 ELSE 0 END AS size FROM c), g2 AS (SELECT *, CASE WHEN k = n - 1 THEN 12 ELSE least(12, first_week + size - 1) END AS last_week FROM f2)
+      SELECT id, k + 1 AS stage, s AS skill, CASE WHEN k = 0 THEN '{M.TIERS[0]}' WHEN k = 1 THEN '{M.TIERS[1]}' WHEN k = n - 1 THEN '{M.TIERS[4]}' WHEN k = n - 2 THEN '{M.TIERS[3]}' ELSE '{M.TIERS[2]}' END AS tier, CASE WHEN k <= 1 THEN 'P0' WHEN s = '{M.PROJECT_STAGE}' THEN 'P2' ELSE 'P1' END AS priority,
+      first_week, last_week, greatest(8, (last_week - first_week + 1) * 8) AS hours FROM g2 WHERE first_week <= last_week""",
     "html_texts": f"SELECT id, {_HTML} AS plain FROM dataset_job_raw",
     "source_hosts": f"SELECT id, {_HOST} AS host, {_HOST} = '' OR regexp_matches({_HOST}, '{D.PRIVATE_HOST}') AS private FROM dataset_job_raw",
     "exact_copies": f"SELECT {_KEY} AS key, min(doc_id) AS first_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1",

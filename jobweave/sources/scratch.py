@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder. A folder named in ``spark.checkpoint.dir`` is
-    used as it is; only where none is set (local tests) a temporary one is made."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The session's checkpoint folder, as ``spark.checkpoint.dir`` names it.
+
+    Where it is unset, a local session (tests) gets a temporary one; on a cluster such a
+    folder would exist on one host only, so that is an error.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not (context.master or "").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="jobweave-checkpoint-"))
     return context.getCheckpointDir()
 
@@ -29,7 +34,8 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores, for work that is heavy per row.
 
     A table of many splits stays as it is; only one that Spark would read in fewer tasks than
-    it has cores (a single small file) is dealt out. The rows are the same either way.
+    it has cores (a single small file) is dealt out. The rows are the same either way. For
+    scans and projections of them only: asking a plan with shuffles for its partitions may run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

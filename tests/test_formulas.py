@@ -52,13 +52,34 @@ def test_discovery(spark):
     assert got["b"] == pytest.approx((0.741731, 0.652833), abs=1e-4)
 
 
-def test_match_score(spark):
-    need = F.create_map(F.lit("Java"), F.lit(1.0), F.lit("Spring Boot"), F.lit(0.8))
-    none = F.expr("cast(map() as map<string,double>)")
-    s = M.match_score(F.array(*lits("Java", "Spring Boot")), need, none, F.lit("Java项目"), F.lit(2.0), F.lit("中级"), F.lit("本科"), F.lit(2), F.lit(1))
-    assert one(spark, *s.values()) == pytest.approx((77.7, 100, 65, 45, 51, 86.7, 88), abs=0.11)
-    s = M.match_score(F.array(F.lit("Java")), need, F.create_map(F.lit("Docker"), F.lit(1.0)), F.lit(None).cast("string"), F.lit(1.0), F.lit("高级"), F.lit("硕士"), F.lit(0), F.lit(0))
-    assert one(spark, *s.values()) == pytest.approx((50.5, 55.6, 30, 35, 48, 68, 95), abs=0.11)
+def match(spark, profile, needs, level, **limits):
+    columns = "id int, skills array<string>, projects string, internships array<string>, years double, education string"
+    df = spark.createDataFrame([(1, *profile)], columns)
+    wanted = spark.createDataFrame([("r", *n) for n in needs], "role string, skill_name string, kind string, importance double")
+    return M.match_profiles(df, wanted, spark.createDataFrame([("r", level)], "role string, level string"), **limits)
+
+
+@pytest.mark.parametrize("limits", [{}, {"broadcast_rows": 0}])
+def test_match_score(spark, limits):
+    parts = ["overall", "skill", "internship", "project", "stack", "level", "education"]
+    need = [("Java", "REQUIRED", 1.0), ("Spring Boot", "REQUIRED", 0.8)]
+    got = match(spark, (["Java", "Spring Boot"], "Java项目", ["JAVA实习", "行政实习"], 2.0, "本科"), need, "中级", **limits).first()
+    assert [got[p] for p in parts] == pytest.approx((77.7, 100, 65, 45, 51, 86.7, 88), abs=0.11) and got["missing"] == []
+    got = match(spark, (["Java"], None, [], 1.0, "硕士"), [*need, ("Docker", "BONUS", 1.0)], "高级", **limits).first()
+    assert [got[p] for p in parts] == pytest.approx((50.5, 55.6, 30, 35, 48, 68, 95), abs=0.11) and got["missing"] == ["Spring Boot"]
+    none = match(spark, ([], "x", None, None, None), need, None, **limits)
+    assert none.count() == 0
+    odd = match(spark, (["Java", "Java", ""], "x", None, None, None), need, None, **limits).first()
+    assert (odd["level"], odd["education"], odd["internship"], odd["stack"]) == (60.0, 60.0, 30.0, 48.0)
+
+
+def test_prerequisites(spark):
+    df = spark.createDataFrame([(1, ["Spring", "Java", "Vue"]), (2, []), (3, None)], "id int, s array<string>")
+    direct = spark.createDataFrame([("Spring", 1, "Java"), ("Vue", 2, "HTML"), ("Vue", 1, "JS"), ("x", 1, "y")], "skill string, place int, prerequisite string")
+    got = {r["id"]: r["skills"] for r in M.with_prerequisites(df, "id", "s", direct).collect()}
+    assert got == {1: ["Java", "Spring", "JS", "HTML", "Vue"], 2: list(M.GENERAL_STAGES), 3: list(M.GENERAL_STAGES)}
+    rows = M.learning_plan(spark.createDataFrame([(1, ["a", "b", "c"])], "id int, s array<string>"), "id", F.col("s"), F.lit(12), F.lit(5)).orderBy("stage").collect()
+    assert [(r["tier"][:3], r["priority"]) for r in rows] == [("第一层", "P0"), ("第二层", "P0"), ("冲刺层", "P1"), ("顶层：", "P2")]
 
 
 @pytest.mark.parametrize("n, weeks, want", [(3, 12, "1-3 4-6 7-9 10-12"), (9, 12, "1-2 3-4 5-6 7-8 9-10 11-12"), (8, 16, "1-2 3-4 5-6 7-8 9-10 11-13 14-16"), (2, 1, "1-1"), (5, 3, "1-1 2-2 3-3")])
