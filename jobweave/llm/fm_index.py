@@ -21,7 +21,7 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
     padded = np.concatenate([codes, np.zeros(width, codes.dtype)]).astype(np.int64)
     for k in range(width):
         key = (key << bits) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     slots = np.arange(n)
     sorted_keys = key[order]
     rank = np.empty(n + 1, np.int64)
@@ -37,7 +37,7 @@ def suffix_array(codes: np.ndarray) -> np.ndarray:
             return order
         suffixes = order[slots]
         sorted_keys = rank[suffixes] * (n + 1) + rank[np.minimum(suffixes + step, n)] + 1
-        by = np.argsort(sorted_keys, kind="stable")
+        by = np.argsort(sorted_keys)
         order[slots] = suffixes[by]
         sorted_keys = sorted_keys[by]
         step *= 2
@@ -92,14 +92,18 @@ class FMIndex:
         """Occurrences of each symbol among the first ``i`` of the BWT."""
         return self._descend(symbol, i) - self.base[symbol]
 
+    def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Row ranges after one more symbol in front."""
+        both = self._descend(np.r_[symbol, symbol], np.r_[low, high]) - np.tile(self.base[symbol] - self.first[symbol], 2)
+        return both[: len(symbol)], both[len(symbol) :]
+
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row ranges [low, high) of ``phrases`` (one per row, equally long), by backward search."""
         low = np.zeros(len(phrases), np.int64)
         high = np.full(len(phrases), self.length, np.int64)
         for k in range(phrases.shape[1] - 1, -1, -1):
             c = phrases[:, k]
-            low = self.first[c] + self.rank(c, low)
-            high = self.first[c] + self.rank(c, high)
+            low, high = self.step(c, low, high)
         return low, np.maximum(low, high)
 
     def locate(self, rows: np.ndarray) -> np.ndarray:

@@ -3,12 +3,14 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from jobweave.llm import abuse, packing
 from jobweave.llm.fm_index import FMIndex, suffix_array
-from jobweave.llm.leaks import common_tokens, find_leaks, removal_spans, tokens_of
+from jobweave.llm.leaks import common_letters, common_tokens, find_leaks, removal_spans, shard_leaks, token_places, tokens_of
 from jobweave.llm.personal_data import find_spans, personal_data_kinds, redact, redacted
+from jobweave.llm.phrases import Phrases
 
 FOUND = {
     "邮箱：mira60@rowan.example.org，谢谢": "邮箱：[EMAIL]，谢谢", "写信到 talent94 [at] kestrel [dot] example [dot] com 沟通": "写信到 [EMAIL] 沟通", "hr9(at)a.example. Next": "[EMAIL]. Next", "发到mira17＠post.ostel.example": "发到[EMAIL]",
@@ -97,6 +99,9 @@ def test_leaks(spark):
     assert [tuple(s) for s in removal_spans(found).where("doc = 1").first()["spans"]] == [(span["first"], span["end"])]
     assert find_leaks(docs.limit(0), items).count() == 0 and find_leaks(docs, items.limit(0)).count() == 0
     assert common_tokens(tokens_of("a b c d"), tokens_of("b x d")) == 2
+    assert common_letters(["a", "bcd", "ef"], ["bcd", "a", "ef"]) == 5 / 6
+    for text in ("Ab，ｃ１ é e\u0301x ﬁ가 ㌔。", "审计 A1-b", ""):
+        assert [tokens_of(text[a:b]) for a, b in token_places(text)] == [[t] for t in tokens_of(text)] or "ﬁ" in text
 
 
 def test_an_item_leaked_twice(spark):
@@ -121,6 +126,27 @@ def test_an_item_leaked_twice(spark):
             assert cut >= len(piece) - 3 if k % 2 else cut <= len(ENGLISH) // 2, (i, k)
 
 
+def test_many_items_share_one_index(spark, monkeypatch):
+    """100 000 items, all with the same opening, beside 80: the same leaks of the same items, and every block used."""
+    rng = np.random.default_rng(5)
+    words = lambda n: "".join(chr(0x4E00 + k) for k in rng.integers(0, 3000, n))
+    few = [(k, "请先核对以下内容" + words(30)) for k in range(80)]
+    filler = [(1000 + k, "请先核对以下内容" + words(24)) for k in range(100_000)]
+    docs = [(1, words(50) + few[3][1] + words(50)), (2, "请先核对以下内容" + words(400)), (3, few[7][1][:30] + words(90)), (4, filler[99_999][1]), (5, "请先核对以下内容" * 40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    small = {(r["doc"], r["item"]) for r in find_leaks(df, spark.createDataFrame(few, "item_id long, text string")).collect()}
+    assert small == {(1, 3), (3, 7)}
+    items = spark.createDataFrame(pd.DataFrame(few + filler, columns=["item_id", "text"]))
+    large = {(r["doc"], r["item"]) for r in find_leaks(df, items).collect()}
+    assert {x for x in large if x[1] < 1000} == small and (4, 100_999) in large
+    monkeypatch.setattr("jobweave.llm.leaks.EXPANDED", 1000)
+    monkeypatch.setattr("jobweave.llm.leaks.FEW", 0)
+    texts = [t for _, t in docs]
+    block = [Phrases([i for i, _ in few], [tokens_of(t) for _, t in few]).ready()]
+    got = {(d, i) for d, i, *_ in shard_leaks([i for i, _ in docs], texts, block, 0.5)}
+    assert got == small
+
+
 def slow_best_fit(sizes, capacity, most):
     bins, where, opened = [], [], 0
     for s in sizes:
