@@ -22,16 +22,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.llm.near_duplicates import token_hashes
-from jobweave.sources.scratch import spread
+from jobweave.sources.scratch import cut, ensure_checkpoint_dir, spread
 
 BUCKET_BITS = 17
 FACTORS = 6
 LABELLED_LIMIT = 20_000  # labelled documents that the machine is fitted on, at most
-NEGATIVES_PER_DOCUMENT = 6
+NEGATIVES_PER_DOCUMENT = 6  # passages of a harmless document that look worst, in every round
+OTHER_NEGATIVES = 0.15  # share of its other passages, drawn anew every round
 SEED = 11
 _BREAK = re.compile(r"[。！？!?；;\n\r]+|(?<=[a-z0-9%)\"'’”])\.(?=\s|$)|(?<=…)")
 _HIDDEN = re.compile(r"[\u00ad\u200b-\u200f\u2060\ufeff]")
@@ -45,6 +47,12 @@ def passages(text: str) -> list[str]:
     return [p for p in _BREAK.split(plain) if p and not p.isspace()]
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """The different ``keys`` in order; for numbers sorting is faster than the hashing of ``np.unique``."""
+    keys = np.sort(keys)
+    return keys[np.r_[True, keys[1:] != keys[:-1]][: len(keys)]]
+
+
 def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, passage number) of the terms of each passage, a term once per passage."""
     h, owner = token_hashes(texts)
@@ -60,7 +68,7 @@ def terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         parts.append(((h[:-2] * _PAIR ^ (h[1:-1] + _PAIR)) * _TRIPLE ^ h[2:])[triple] * _PAIR)
         owners.append(owner[:-2][triple])
     bucket = (np.concatenate(parts) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
-    key = np.unique((np.concatenate(owners) << BUCKET_BITS) | bucket)
+    key = _distinct((np.concatenate(owners) << BUCKET_BITS) | bucket)
     return key & ((1 << BUCKET_BITS) - 1), key >> BUCKET_BITS
 
 
@@ -80,8 +88,8 @@ class Machine:
             scale = 1 / np.sqrt(np.diff(np.r_[starts, len(owner)]))
             v = self.factors[bucket]
             sums = np.add.reduceat(v, starts, axis=0)
-            squares = np.add.reduceat((v * v).sum(1), starts)
-            out[owner[starts]] += np.add.reduceat(self.weights[bucket], starts) * scale + 0.5 * ((sums * sums).sum(1) - squares) * scale * scale
+            squares = np.add.reduceat(np.einsum("ij,ij->i", v, v), starts)
+            out[owner[starts]] += np.add.reduceat(self.weights[bucket], starts) * scale + 0.5 * (np.einsum("ij,ij->i", sums, sums) - squares) * scale * scale
         return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -101,9 +109,11 @@ class Machine:
 def _fit(bucket: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.ndarray, epochs: int = 8, rate: float = 0.15, decay: float = 1e-5, batch: int = 256) -> Machine:
     """Logistic loss by adaptive gradient steps over shuffled passages (deterministic)."""
     rng = np.random.default_rng(SEED)
-    size = 1 << BUCKET_BITS
-    w, v = np.zeros(size), rng.normal(0, 0.02, (size, FACTORS))
-    gw, gv = np.full(size, 1e-6), np.full((size, FACTORS), 1e-6)
+    # Only terms that occur get a weight while fitting; single precision keeps them in the cache.
+    known, bucket = np.unique(bucket, return_inverse=True)
+    w, v = np.zeros(len(known), np.float32), rng.normal(0, 0.02, (1 << BUCKET_BITS, FACTORS)).astype(np.float32)
+    untouched, v = v, v[known]
+    gw, gv = np.full(len(known), 1e-6, np.float32), np.full((len(known), FACTORS), 1e-6, np.float32)
     bias, gb = 0.0, 1e-6
     starts = np.searchsorted(owner, np.arange(len(label) + 1))
     for _ in range(epochs):
@@ -117,28 +127,37 @@ def _fit(bucket: np.ndarray, owner: np.ndarray, label: np.ndarray, weight: np.nd
             edge = np.r_[0, np.cumsum(length)]
             where = np.repeat(starts[chosen] - edge[:-1], length) + np.arange(edge[-1])
             b = bucket[where]
-            scale = 1 / np.sqrt(length)
+            scale = (1 / np.sqrt(length)).astype(np.float32)
             vb = v[b]
             sums = np.add.reduceat(vb, edge[:-1], axis=0)
-            margin = bias + np.add.reduceat(w[b], edge[:-1]) * scale + 0.5 * ((sums * sums).sum(1) - np.add.reduceat((vb * vb).sum(1), edge[:-1])) * scale**2
-            slope = (1 / (1 + np.exp(-np.clip(margin, -40, 40))) - label[chosen]) * weight[chosen]
+            pairs = np.einsum("ij,ij->i", sums, sums) - np.add.reduceat(np.einsum("ij,ij->i", vb, vb), edge[:-1])
+            margin = bias + np.add.reduceat(w[b], edge[:-1]) * scale + 0.5 * pairs * scale**2
+            slope = ((1 / (1 + np.exp(-np.clip(margin, -40, 40))) - label[chosen]) * weight[chosen]).astype(np.float32)
             each = np.repeat(np.arange(len(chosen)), length)
-            terms_, inverse = np.unique(b, return_inverse=True)
-            step_w = np.bincount(inverse, (slope * scale)[each], len(terms_)) + decay * w[terms_]
-            gw[terms_] += step_w**2
-            w[terms_] -= rate * step_w / np.sqrt(gw[terms_])
-            pull = (slope * scale**2)[each, None] * (sums[each] - vb)
-            for f in range(FACTORS):
-                step = np.bincount(inverse, pull[:, f], len(terms_)) + decay * v[terms_, f]
-                gv[terms_, f] += step**2
-                v[terms_, f] -= 0.3 * rate * step / np.sqrt(gv[terms_, f])
+            # Rows of one term side by side, so that its steps are summed once.
+            by = np.argsort(b)
+            first = np.flatnonzero(np.r_[True, b[by][1:] != b[by][:-1]])
+            used = b[by][first]
+            step_w = np.add.reduceat((slope * scale)[each[by]], first) + decay * w[used]
+            gw[used] += step_w**2
+            w[used] -= rate * step_w / np.sqrt(gw[used])
+            pull = (slope * scale**2)[each[by], None] * (sums[each[by]] - vb[by])
+            step = np.add.reduceat(pull, first, axis=0) + decay * v[used]
+            gv[used] += step**2
+            v[used] -= 0.3 * rate * step / np.sqrt(gv[used])
             gb += float(slope.sum()) ** 2
             bias -= rate * float(slope.sum()) / np.sqrt(gb)
-    return Machine(bias, w.astype(np.float32), v.astype(np.float32))
+    weights = np.zeros(1 << BUCKET_BITS, np.float32)
+    weights[known], untouched[known] = w, v
+    return Machine(bias, weights, untouched)
+
 
+def train(texts: list[str], labels: list[float], rounds: int = 3, hard: int = NEGATIVES_PER_DOCUMENT, others: float = OTHER_NEGATIVES) -> Machine | None:
+    """The machine for labelled texts; None without labels of both kinds.
 
-def train(texts: list[str], labels: list[float], rounds: int = 3) -> Machine | None:
-    """The machine for labelled texts; None without labels of both kinds."""
+    Of the passages of harmless documents the ``hard`` worst-looking ones of each and a share
+    of ``others`` of the rest are examples; 1.0 takes all of them, at more time for little gain.
+    """
     yes = np.asarray(labels) > 0.5
     if not yes.any() or yes.all():
         return None
@@ -149,7 +168,7 @@ def train(texts: list[str], labels: list[float], rounds: int = 3) -> Machine | N
     of = owner[passage]
     # Log odds of terms by the share of documents of either label that hold them.
     size = 1 << BUCKET_BITS
-    pairs = np.unique(of * size + bucket)
+    pairs = _distinct(of * size + bucket)
     doc, term = pairs // size, pairs % size
     in_yes = np.bincount(term[yes[doc]], minlength=size)
     in_no = np.bincount(term[~yes[doc]], minlength=size)
@@ -171,9 +190,9 @@ def train(texts: list[str], labels: list[float], rounds: int = 3) -> Machine | N
         wrong = ~yes[owner] & (scores > (3.0 if k else np.inf))
         rank = np.lexsort((-scores, owner))
         place = np.arange(len(flat)) - np.searchsorted(owner, owner)
-        hard = np.zeros(len(flat), bool)
-        hard[rank] = place < NEGATIVES_PER_DOCUMENT
-        negative = ~yes[owner] & ~wrong & (hard | (rng.random(len(flat)) < 0.15))
+        worst = np.zeros(len(flat), bool)
+        worst[rank] = place < hard
+        negative = ~yes[owner] & ~wrong & (worst | (rng.random(len(flat)) < others))
         quiet = yes[owner] & ~chosen & (scores < -2.0) & (k > 0)
         if not chosen.any() or not negative.any():
             return machine
@@ -207,8 +226,19 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, doc_id: str, text:
     return texts.join(F.broadcast(votes), "doc").dropDuplicates(["doc"])  # votes: at most `limit` rows
 
 
-def fit_machine(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = LABELLED_LIMIT) -> Machine | None:
-    """The machine fitted in one task on a bounded sample of labelled documents; only its arrays reach the driver."""
+def fit_machine(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = LABELLED_LIMIT, folder: str | None = None, refit: bool = False) -> Machine | None:
+    """The machine fitted in one task on a bounded sample of labelled documents, or the one saved for that sample.
+
+    The sample holds at most ``limit`` documents (:func:`labelled_sample`). The machine is saved
+    in ``folder`` (by default the session's checkpoint folder) under a name made of the sample
+    and the parameters, so further queries on the same labels read it instead of fitting it
+    again; ``refit`` fits it anyway. Only its arrays reach the driver.
+    """
+    spark = documents.sparkSession
+    folder = folder or ensure_checkpoint_dir(spark)
+    sample = cut(labelled_sample(documents, labels, doc_id, text, limit))
+    rows, mark = sample.agg(F.count(F.lit(1)), F.sum(F.xxhash64("doc", "text", "label").cast("decimal(38,0)"))).first()
+    path = f"{folder}/machine-{rows}-{mark or 0}-{BUCKET_BITS}-{FACTORS}-{SEED}-{NEGATIVES_PER_DOCUMENT}-{OTHER_NEGATIVES}"
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc")
@@ -217,8 +247,17 @@ def fit_machine(documents: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
             return pd.DataFrame({"bias": [], "weights": [], "factors": []})
         return pd.DataFrame({"bias": [machine.bias], "weights": [machine.weights.tobytes()], "factors": [machine.factors.tobytes()]})
 
-    sample = labelled_sample(documents, labels, doc_id, text, limit)
-    got = sample.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, "bias double, weights binary, factors binary").collect()
+    layout = "bias double, weights binary, factors binary"
+    saved = None
+    if not refit:
+        try:
+            saved = spark.read.schema(layout).parquet(path)
+        except AnalysisException:
+            pass  # not fitted yet
+    if saved is None:
+        sample.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, layout).write.mode("overwrite").parquet(path)
+        saved = spark.read.schema(layout).parquet(path)
+    got = saved.collect()  # one row of fixed size
     if not got:
         return None
     return Machine(got[0]["bias"], np.frombuffer(bytes(got[0]["weights"]), np.float32), np.frombuffer(bytes(got[0]["factors"]), np.float32).reshape(-1, FACTORS))

@@ -47,15 +47,18 @@ def p9_spans(spark: SparkSession, folder: str) -> DataFrame:
 ABUSE_LIMIT = 0.5
 
 
-def _scores(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+def _scores(spark: SparkSession, folder: str, *columns: str, refit: bool = False) -> DataFrame:
     documents = table(spark, folder, "documents")
-    machine = fit_machine(documents, table(spark, folder, "doc_label"))
+    machine = fit_machine(documents, table(spark, folder, "doc_label"), refit=refit)
     return score_documents(documents.select("doc_id", "text", *columns), machine)
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id) of documents whose worst passage is abusive, hateful or sexual more likely than not."""
-    return _scores(spark, folder).where(F.col("abuse_score") >= ABUSE_LIMIT).select("doc_id")
+    """(doc_id) of documents whose worst passage is abusive, hateful or sexual more likely than not.
+
+    Fits the machine and saves it; the other two queries read the saved one.
+    """
+    return _scores(spark, folder, refit=True).where(F.col("abuse_score") >= ABUSE_LIMIT).select("doc_id")
 
 
 def p10_scores(spark: SparkSession, folder: str) -> DataFrame:

@@ -251,6 +251,8 @@ def test_scoring_tables(spark):
     docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)] + [(900, None, 1), (901, "", 1), (1, texts[1], 1)], "doc_id long, text string, label int")
     votes = spark.createDataFrame([(k, f"r{j}", int(v)) for k, v in enumerate(labels) for j in range(1 + k % 2)] + [(3, "r9", None), (None, "r", 1)], "doc_id long, rater string, is_abusive int")
     machine = abuse.fit_machine(docs, votes)
+    saved = abuse.fit_machine(docs, votes)
+    assert np.array_equal(saved.weights, machine.weights) and np.array_equal(saved.factors, machine.factors) and saved.bias == machine.bias
     scored = abuse.score_documents(docs, machine)
     assert scored.columns == [*docs.columns, "abuse_score"] and scored.count() == docs.count()
     assert {r["abuse_score"] for r in scored.where("doc_id >= 900").collect()} == {0.0}
