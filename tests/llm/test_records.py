@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from jobweave.llm.canonical import grams, match_values, normal_value
 from jobweave.llm.components import components
 from jobweave.llm.near_duplicates import expand_pairs, jaccard, similar_groups, similar_pairs
+from jobweave.llm.record_queries import QUERIES
 from jobweave.llm.skeleton import equal_looking, plain_form, skeleton, stand_ins, with_forms
 from jobweave.llm.survivors import group_members, surviving_values, survivors
 
@@ -138,6 +139,32 @@ def test_letters_of_other_scripts(text, plain, found):
     assert skeleton(text) == skeleton(plain)
 
 
+@pytest.mark.parametrize("text", ["оркестр", "хор пел", "Дом, сорок и один", "Ελλάδα και Όμηρος", "Орел 5 км", "café Ångström 豈"])
+def test_whole_words_of_other_scripts_stay(text):
+    assert (plain_form(text), stand_ins(text)) == (text, [])
+
+
+def test_confusables_of_unicode(spark):
+    from jobweave.llm import skeleton as module
+
+    table = module.confusables(spark)
+    assert len(table) > 200 and all(len(v) == 1 and v.isascii() for v in table.values())
+    odd = {"\ua4d0ase": "Base", "\U00010404racle": "Oracle", "\u1d00pp\u029f\u1d07": "apple", "\u13daalary": "Salary", "d\u03b1ta": "data"}
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(odd)] + [(90, "оркестр"), (91, "plain"), (92, None)], "id int, t string")
+    got = {r["id"]: (r["plain"], r["stand_ins"] or 0) for r in module.with_forms(df, "id", ["t"]).collect()}
+    assert [got[k][0] for k in range(len(odd))] == list(odd.values()) and all(got[k][1] for k in range(len(odd)))
+    assert (got[90], got[91], got[92]) == (("оркестр", 0), ("plain", 0), (None, 0))
+    flagged = {r["id"] for r in module.looking_alike(df, "id", ["t"]).collect()}
+    assert flagged == {k for k, (_, n) in got.items() if n}
+
+
+def test_plain_form_changes_where_stand_ins_are(spark, folder):
+    found = {tuple(r) for r in QUERIES["p6_found"](spark, folder).collect()}
+    raw = {r["id"]: r for r in spark.read.parquet(f"{folder}/dataset_job_raw.parquet").collect()}
+    rows = QUERIES["p6_plain"](spark, folder).collect()
+    assert {(r["id"], r["field_name"]) for r in rows if r["plain"] != raw[r["id"]][r["field_name"]]} == found
+
+
 def test_stand_ins_come_from_prototypes(spark, monkeypatch):
     from jobweave.llm import record_queries
     from jobweave.llm import skeleton as module
@@ -154,7 +181,6 @@ def test_stand_ins_come_from_prototypes(spark, monkeypatch):
 
 
 def test_every_text_is_grouped_by_its_skeleton(spark, folder):
-    from jobweave.llm.record_queries import QUERIES
     from jobweave.sources.tables import table
 
     for name, field in (("p6_titles", "title"), ("p6_companies", "company"), ("p6_descriptions", "description")):
