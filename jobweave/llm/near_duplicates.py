@@ -34,6 +34,7 @@ BLOCKS_PER_LONG = 6  # compact fingerprint: 2 bits * 5 slots * 6 blocks
 LONGS = -(-BLOCKS // BLOCKS_PER_LONG)
 LOW_BITS = int("01" * (SLOTS * BLOCKS_PER_LONG), 2)
 BROADCAST_ROWS = 200_000
+COPIES_PER_TASK = 1_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _rng = np.random.default_rng(SEED)
@@ -189,13 +190,23 @@ def similar_pairs(
 
 
 def expand_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: all pairs of rows that ``pairs`` of representatives and copies stand for."""
-    a = members.select(F.col("rep").alias("id_a"), F.col("id").alias("x"))
-    b = members.select(F.col("rep").alias("id_b"), F.col("id").alias("y"))
-    across = pairs.join(a, "id_a").join(b, "id_b").select("x", "y")
-    shared = members.where("id <> rep").select("rep").distinct()
-    of_copies = members.join(shared, "rep", "left_semi")
-    within = of_copies.select("rep", F.col("id").alias("x")).join(of_copies.select("rep", F.col("id").alias("y")), "rep").where("x < y").select("x", "y")
+    """(id_a, id_b), id_a < id_b: all pairs of rows that ``pairs`` of representatives and copies stand for.
+
+    Their number is that of the result asked for: a class of n copies stands for n(n-1)/2
+    pairs. Large classes are dealt over tasks, ``COPIES_PER_TASK`` rows against the whole class
+    each. Where the pairs themselves are not wanted, :func:`similar_groups` says the same in
+    one row per row.
+    """
+    sizes = members.groupBy("rep").agg(F.ceil(F.count(F.lit(1)) / COPIES_PER_TASK).cast("int").alias("parts"), F.count(F.lit(1)).alias("n"))
+    several = members.join(sizes.where("n > 1").select("rep", "parts"), "rep")
+    dealt = several.select("rep", F.col("id").alias("x"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    against = several.select("rep", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    within = dealt.join(against, ["rep", "part"]).where("x < y").select("x", "y")
+    # The copies of one end are dealt in the same way and meet all copies of the other end.
+    dealt = pairs.join(members.select(F.col("rep").alias("id_a"), F.col("id").alias("x")), "id_a").join(sizes.select(F.col("rep").alias("id_b"), "parts"), "id_b")
+    dealt = dealt.select("x", "id_b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    split = members.join(sizes.select("rep", "parts"), "rep").select(F.col("rep").alias("id_b"), F.col("id").alias("y"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+    across = dealt.join(split, ["id_b", "part"]).select("x", "y")
     return across.unionByName(within).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
 
 

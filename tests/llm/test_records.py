@@ -72,6 +72,16 @@ def test_pairs_against_all_pairs(spark):
     assert expand_pairs(*empty).count() == 0 and similar_groups(*empty).count() == 0
 
 
+def test_expanded_pairs_of_large_classes(spark, monkeypatch):
+    monkeypatch.setattr("jobweave.llm.near_duplicates.COPIES_PER_TASK", 3)
+    members = spark.createDataFrame([(k, 0) for k in range(10)] + [(k, 20) for k in range(20, 24)] + [(30, 30)], "id long, rep long")
+    pairs = spark.createDataFrame([(0, 20), (20, 30)], "id_a long, id_b long")
+    got = [tuple(r) for r in expand_pairs(pairs, members).collect()]
+    same = lambda ids: {(a, b) for a in ids for b in ids if a < b}
+    want = same(range(10)) | same(range(20, 24)) | {(a, b) for a in range(10) for b in range(20, 24)} | {(a, 30) for a in range(20, 24)}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_jaccard_on_plain_sets():
     a, b = "数据 平台, 工程师 ab1 数据平台", "数据平台工程师 AB1 数据".lower()
 
