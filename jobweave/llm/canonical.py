@@ -14,7 +14,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave.llm.skeleton import plain_form
@@ -88,16 +88,18 @@ def match_values(
     normal = cut(distinct.withColumn("normal", F.pandas_udf(_normal, "string")("value")).where("normal <> ''"))
     forms = normal.select("normal").distinct().withColumn("g", F.pandas_udf(_grams, "array<string>")("normal"))
     index = cut(inverted_index(reference, id_col, name_col))
-    small = len(reference.select(id_col).take(reference_limit + 1)) <= reference_limit
+    small = reference.select(id_col).limit(reference_limit + 1).count() <= reference_limit
     index = F.broadcast(index) if small else index
     known = F.broadcast(index.select("gram", "weight2").distinct()) if small else index.select("gram", "weight2").distinct()
-    pieces = cut(forms.select("normal", F.explode("g").alias("gram")).join(known, "gram"))
+    # One shuffle by value: the sums, the norms and the ranking below all keep its partitioning.
+    pieces = cut(forms.select("normal", F.explode("g").alias("gram")).join(known, "gram")).repartition("normal")
     norms = pieces.groupBy("normal").agg(F.sqrt(F.sum("weight2")).alias("norm"))
     dots = pieces.drop("weight2").join(index, "gram").groupBy("normal", "entry").agg(F.sum("weight2").alias("dot"), F.first("entry_norm").alias("entry_norm"))
     scored = dots.join(norms, "normal").select("normal", "entry", F.round(F.col("dot") / (F.col("norm") * F.col("entry_norm")), 9).alias("score"))
-    ranked = scored.groupBy("normal").agg(F.max_by("entry", F.struct("score", -F.col("entry"))).alias("best"), F.max("score").alias("score"))
-    second = scored.join(ranked.select("normal", "best"), "normal").where("entry <> best").groupBy("normal").agg(F.max("score").alias("runner_up"))
-    found = ranked.join(second, "normal", "left").withColumn("runner_up", F.coalesce("runner_up", F.lit(0.0)))
+    order = Window.partitionBy("normal").orderBy(F.desc("score"), F.asc("entry"))
+    first_two = scored.withColumn("place", F.row_number().over(order)).where("place <= 2")
+    pick = lambda place, column: F.max(F.when(F.col("place") == place, F.col(column)))
+    found = first_two.groupBy("normal").agg(pick(1, "entry").alias("best"), pick(1, "score").alias("score"), F.coalesce(pick(2, "score"), F.lit(0.0)).alias("runner_up"))
     accepted = (F.col("score") >= threshold) & (F.col("score") - F.col("runner_up") >= margin)
     named = normal.join(found, "normal", "left")
     return named.select(F.col("value").alias(value_col), "rows", F.when(accepted, F.col("best")).alias("entry"), "score", "runner_up", F.col("best").alias("nearest"))

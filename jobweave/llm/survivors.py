@@ -68,7 +68,7 @@ def surviving_values(
     ``trust_limit`` sources and joined by a shuffle beyond.
     """
     ranks = trust.groupBy(F.lower(trimmed(F.col("source_name"))).alias("__source")).agg(F.min("trust_rank").alias("__rank")).where("__source is not null")
-    small = len(ranks.select("__source").take(trust_limit + 1)) <= trust_limit
+    small = ranks.select("__source").limit(trust_limit + 1).count() <= trust_limit
     columns = [group_col, id_col, recency_col, quality_col]
     base = members.select(*columns, F.lower(trimmed(F.col(source_col))).alias("__source"), *[F.col(f).cast("string").alias(f"__v_{f}") for f in fields])
     base = base.join(F.broadcast(ranks) if small else ranks, "__source", "left")
