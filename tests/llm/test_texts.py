@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from jobweave.llm import abuse, packing
+from jobweave.llm import abuse, packing, personal_data
 from jobweave.llm.fm_index import FMIndex, suffix_array
 from jobweave.llm.leaks import common_letters, common_tokens, find_leaks, removal_spans, shard_leaks, token_places, tokens_of
 from jobweave.llm.personal_data import find_spans, personal_data_kinds, redact, redacted
@@ -15,17 +15,26 @@ from jobweave.llm.phrases import Phrases
 FOUND = {
     "邮箱：mira60@rowan.example.org，谢谢": "邮箱：[EMAIL]，谢谢", "写信到 talent94 [at] kestrel [dot] example [dot] com 沟通": "写信到 [EMAIL] 沟通", "hr9(at)a.example. Next": "[EMAIL]. Next", "发到mira17＠post.ostel.example": "发到[EMAIL]",
     "联系电话：１４０００００１１３８。": "联系电话：[PHONE]。", "咨询请拨一七三五五五零零八八二": "咨询请拨[PHONE]", "加急可短信0948-55503547转53": "加急可短信[PHONE]", "Call +1 415 555 0126 on weekdays": "Call [PHONE] on weekdays", "Text (202) 555-0183 now": "Text [PHONE] now",
+    "My name is John Carter.": "My name is [PERSON].", "please contact Maria Lopez": "please contact [PERSON]", "工程师张伟负责对接": "工程师[PERSON]负责对接", "Come to 21 Baker street, London": "Come to [ADDRESS]",
+    "pay to GB82 WEST 1234 5698 7654 32 now": "pay to [ACCOUNT] now", "银行卡号 6222021234567890123": "银行卡号 [ACCOUNT]", "见 tel:010-62345678。": "见 tel:[PHONE]。", "mailto:a.b@c.example": "mailto:[EMAIL]", "白天打13900001111": "白天打[PHONE]", "到场后找濮阳汀芮报到": "到场后找[PERSON]报到",
     "13800009413": "[PHONE]", "身份证：992115199007236035": "身份证：[ID_NUMBER]", "证件号991526 19920125 3576请勿": "证件号[ID_NUMBER]请勿", "carries SSN 000-95-1169.": "carries SSN [ID_NUMBER].", "证件号码990715920904456": "证件号码[ID_NUMBER]",
     "面试请到沅岭市南屿区松涛路385弄34号": "面试请到[ADDRESS]", "集合地点在星岸大道36号澄观大厦C座22层": "集合地点在[ADDRESS]", "Meet us at 222 Copperfield Rise, Apt 5.": "Meet us at [ADDRESS].", "Post documents to 675 Old Lantern Avenue, Aldermoor.": "Post documents to [ADDRESS].",
     "联系人：濮阳汀芮": "联系人：[PERSON]", "面试官仉霁漪会提前一天与您确认": "面试官[PERSON]会提前一天与您确认", "由殳漪老师安排笔试": "由[PERSON]老师安排笔试", "Contact person: Quisling-Moor, Perrin.": "Contact person: [PERSON].", "report to I. Vasselby today": "report to [PERSON] today", "Ask for OSKARI GRAUWITZ at": "Ask for [PERSON] at",
 }
 NOTHING = (
+    "pay to GB82 WEST 1234 5698 7654 33 now", "寻找工作。", "可找工作机会", "打通数据平台", "产品经理需求负责", "contact center staff", "Contact Platform Lead", "walk 12 Data way", "第 GB12 区",
     "流水号 9934311994234447225113X 仅作示例", "单表 2024221015749 行仍可分钟级返回", "日均处理 13900000327 条消息", "依赖 queue-core@2.18.12 及以上版本", "熟悉 @Timed 与 @Retry 注解的用法", "统一信用代码 991879MA7474X9738Q", "项目编号 PRJ-2020-9407-020",
     "巡检 12号仓与19号井之间的线路", "乘地铁9号线可达", "维护联系人：分组管理模块", "邮箱服务与短信电话网关的联调经验", "工作地点在朔浦市云溪区", "Serial 914-18-2009-K marks the test rig.", "Part 555-9716-B of the kit", "Ticket REF-2022-7198 explains", "Handles 13900766711 rows per day.",
     "Runs build 10.29.20.4 on site.", "Covers Dock 16 Street Lighting software.", "Adds phone and email channels to the portal.", "Maintains the contact person module.", "You will report to the Platform Lead", "At least 9 years around a scorecard", "", "一" * 10_000,
 )
 
 
+def test_check_digits():
+    assert personal_data.iban_valid("DE89370400440532013000") and not personal_data.iban_valid("DE89370400440532013001")
+    assert personal_data.card_valid("4111 1111 1111 1111") and not personal_data.card_valid("4111 1111 1111 1112")
+    assert personal_data.id_valid("11010519491231002X") and not personal_data.id_valid("110105194912310021")
+
+
 @pytest.mark.parametrize("text", FOUND)
 def test_found(text):
     assert redact(text) == FOUND[text]
