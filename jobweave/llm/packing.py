@@ -107,7 +107,7 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BIN
     )
     pieces = cut(pieces.select("id", "piece", "first_token", F.least(F.col("all") - F.col("first_token"), F.lit(capacity)).cast("int").alias("n_tokens")))
     packers = max(1, math.ceil(pieces.count() / items_per_packer))
-    spread = pieces.withColumn("h", F.xxhash64("id", "piece")).withColumn("packer", F.pmod("h", F.lit(packers)).cast("int"))
+    dealt = pieces.withColumn("h", F.xxhash64("id", "piece")).withColumn("packer", F.pmod("h", F.lit(packers)).cast("int"))
 
     def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, packer = None, None
@@ -122,7 +122,8 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BIN
             yield pd.DataFrame({"container_id": containers, "place": places} | {c: batch[c] for c in ("id", "piece", "first_token", "n_tokens")})
 
     id_type = lengths.schema["id"].dataType.simpleString()
-    ordered = spread.repartition(packers, "packer").sortWithinPartitions("packer", "h", "id", "piece")
+    # A packer is the number of its partition, so every task gets one of them.
+    ordered = dealt.repartitionById(packers, "packer").sortWithinPartitions("packer", "h", "id", "piece")
     return ordered.mapInPandas(fill, f"container_id long, place int, id {id_type}, piece int, first_token long, n_tokens int")
 
 
