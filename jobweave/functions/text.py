@@ -39,8 +39,8 @@ def _fold(values: pd.Series) -> pd.Series:
 
 
 def nfkc(value: Column) -> Column:
-    """Compatibility form; plain ASCII does not go to Python."""
-    return F.when(value.rlike(r"[^\x00-\x7F]"), F.pandas_udf(_fold, "string")(value)).otherwise(value)
+    """Compatibility form; of plain ASCII only a null goes to Python."""
+    return F.coalesce(F.pandas_udf(_fold, "string")(F.when(value.rlike(r"[^\x00-\x7F]"), value)), value)
 
 
 def normalise(value: Column) -> Column:

@@ -140,3 +140,15 @@ def target_years(years: DataFrame) -> DataFrame:
     """Years that were observed together with the year before."""
     seen = years.select("year").distinct()
     return seen.join(seen.select((F.col("year") + 1).alias("year")), "year", "left_semi")
+
+
+def emerged_in_sample(train: DataFrame, sample: DataFrame, whole: DataFrame) -> DataFrame:
+    """(title, n, estimate): titles of a held-out sample that rose over ``train``, counts scaled up to the whole year.
+
+    A title of the sample counts when it is new, or when its estimate reaches 2 and 1.15 times
+    what it was.
+    """
+    factor = whole.agg(F.sum("n").alias("a")).crossJoin(sample.agg(F.sum("n").alias("b"))).select((F.col("a") / F.greatest(F.col("b"), F.lit(1))).alias("factor"))  # one row each
+    was = train.select("title", F.col("n").alias("was"))
+    rows = sample.select("title", "n").join(was, "title", "left").crossJoin(F.broadcast(factor)).withColumns({"was": F.coalesce("was", F.lit(0)), "estimate": F.round(F.col("n") * F.col("factor"), 4)})
+    return rows.where((F.col("was") == 0) | (F.col("estimate") >= F.greatest(F.lit(2.0), F.col("was") * 1.15))).select("title", "n", "estimate")
