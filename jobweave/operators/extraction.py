@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from jobweave.functions.measures import double
 from jobweave.operators.governance import requirement_confidence, requirement_type
+from jobweave.sources.scratch import cut
 
 BEFORE, AFTER = 45, 65
 MENTIONS = "array<struct<skill_id bigint, place int, evidence string>>"
@@ -34,19 +35,37 @@ def skill_mentions(texts: DataFrame, names: DataFrame, id_col: str, text_col: st
 
     Of each skill the first alias in dictionary order counts, at its first place (from 1),
     with the text around it. Up to ``limit`` names one automaton goes over each text once; a
-    larger dictionary is looked up in parts of that size and merged per text and skill.
+    larger dictionary stays distributed and meets the texts over pairs of characters
+    (:func:`_joined_mentions`).
     """
-    parts = max(1, -(-names.count() // limit))
-    found = None
-    for part in range(parts):
-        rows = names.where(F.pmod(F.xxhash64("skill_id"), F.lit(parts)) == part).collect()  # at most about `limit` names
+    texts = texts.where(F.length(text_col) > 0).select(F.col(id_col), F.lower(text_col).alias("__t"))
+    if names.limit(limit + 1).count() <= limit:
         entries: dict[str, list[tuple[int, int]]] = {}
-        for r in rows:
+        for r in names.collect():  # at most `limit` names
             entries.setdefault(r["alias"], []).append((r["skill_id"], r["rank"]))
-
-        hits = texts.where(F.length(text_col) > 0).select(F.col(id_col), F.explode(F.pandas_udf(_looker(entries), MENTIONS)(F.lower(text_col))).alias("m")).select(id_col, "m.*")
-        found = hits if found is None else found.unionByName(hits)
-    return found.withColumns({"kind": requirement_type(F.col("evidence")), "confidence": requirement_confidence(F.col("evidence"))})
+        hits = texts.select(F.col(id_col), F.explode(F.pandas_udf(_looker(entries), MENTIONS)("__t")).alias("m")).select(id_col, "m.*")
+    else:
+        hits = _joined_mentions(texts, names, id_col)
+    return hits.withColumns({"kind": requirement_type(F.col("evidence")), "confidence": requirement_confidence(F.col("evidence"))})
+
+
+def _joined_mentions(texts: DataFrame, names: DataFrame, id_col: str) -> DataFrame:
+    """The same without the driver: a text and an alias meet where the text holds the alias's rarest pair of characters."""
+    pairs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda k: F.substring(c, k, F.lit(2))))
+    keyed = texts.where(F.length("__t") >= 2).withColumn("__row", F.monotonically_increasing_id())
+    keyed = cut(keyed)  # row numbers must not change between the two uses
+    posted = keyed.select("__row", F.explode(pairs(F.col("__t"))).alias("pair"))
+    aliases = names.select("alias").distinct().select("alias", F.explode(pairs(F.col("alias"))).alias("pair"))
+    common = posted.groupBy("pair").agg(F.count(F.lit(1)).alias("n"))
+    rarest = aliases.join(common, "pair").groupBy("alias").agg(F.min(F.struct("n", "pair"))["pair"].alias("pair"), F.count(F.lit(1)).alias("known"))
+    whole = rarest.join(names.select("alias").distinct().select("alias", F.size(pairs(F.col("alias"))).alias("all")), "alias").where("known = all")
+    met = posted.join(whole.select("alias", "pair"), "pair").select("__row", "alias")
+    placed = met.join(keyed, "__row").withColumn("place", F.position(F.col("alias"), F.col("__t"))).where("place > 0")
+    start = F.greatest(F.lit(1), F.col("place") - BEFORE)
+    evidence = F.trim(F.substring("__t", start, F.col("place") + F.length("alias") + AFTER - start))
+    found = placed.select("__row", id_col, "alias", "place", evidence.alias("evidence")).join(names, "alias")
+    best = found.groupBy("__row", "skill_id").agg(F.min(F.struct("rank", "alias", id_col, "place", "evidence")).alias("b"))
+    return best.select(F.col(f"b.{id_col}").alias(id_col), "skill_id", "b.place", "b.evidence")
 
 
 def _looker(entries: dict[str, list[tuple[int, int]]]):

@@ -84,8 +84,10 @@ def valid_year(year: Column, low: int = 2000, high: int = 2100) -> Column:
 def govern(postings: DataFrame, skill_counts: DataFrame | None = None, as_of: int = 2026, minimum: float = MINIMUM_QUALITY) -> DataFrame:
     """Canonical postings -> governed rows, without their duplicate groups.
 
-    ``skill_counts`` (raw_id, skill_count) joins on the key of the postings; without it no
-    posting has skills. Row failures cannot occur: every cast is tolerant.
+    ``skill_counts`` (raw_id, skill_count, optionally stacks: the stacks of the skills found)
+    joins on the key of the postings; without it no posting has skills. The most frequent of
+    these stacks decides, words of the text only where there is none. Row failures cannot
+    occur: every cast is tolerant.
     """
     p = postings.select(
         "raw_id", "raw_title", standard_title(F.col("raw_title")).alias("title"), F.substring(spaces(F.col("company")), 1, 300).alias("company"),
@@ -95,10 +97,11 @@ def govern(postings: DataFrame, skill_counts: DataFrame | None = None, as_of: in
     )
     p = p.join(skill_counts.withColumnRenamed("raw_id", "__id"), F.col("raw_id") == F.col("__id"), "left").drop("__id") if skill_counts is not None else p.withColumn("skill_count", F.lit(0))
     p = p.withColumn("skill_count", F.coalesce("skill_count", F.lit(0)))
+    stacks = F.coalesce("stacks", F.expr("cast(array() as array<string>)")) if "stacks" in p.columns else None
     both = F.concat(F.col("title"), F.lit("\n"), F.col("description"))
     scored = p.select(
         "*",
-        infer_stack(both).alias("tech_stack"),
+        infer_stack(both, stacks).alias("tech_stack"),
         infer_level(both, F.col("experience")).alias("level_name"),
         F.sha2(F.lower(spaces(both)), 256).alias("content_hash"),
         F.sha2(template_text(F.col("description")), 256).alias("template_hash"),
@@ -185,9 +188,11 @@ def fold_edits(base: DataFrame, edits: DataFrame, key: str, columns: list[str],
 
 
 def deduplicate_load(raw: DataFrame) -> DataFrame:
-    """First row (smallest id) of each feed and content hash, as an idempotent load keeps it."""
+    """First row (smallest id) of each feed and content hash, as an idempotent load keeps it; rows without a hash are all kept."""
+    keyed = F.coalesce(F.trim("content_hash"), F.lit("")) != ""
     w = Window.partitionBy("source_dataset", "content_hash").orderBy("id")
-    return raw.withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
+    first = raw.where(keyed).withColumn("__k", F.row_number().over(w)).where("__k = 1").drop("__k")
+    return first.unionByName(raw.where(~keyed))
 
 
 def content_key(title: Column, description: Column, company: Column) -> Column:

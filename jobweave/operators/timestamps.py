@@ -6,7 +6,9 @@ an all-numeric date). The first pattern that matches wins; everything after it i
 a field out of range gives no instant. All of it runs inside the JVM.
 
 Policy
-* a stated offset or zone abbreviation is used as stated;
+* a stated offset or zone abbreviation is used as stated; of abbreviations with several
+  meanings, BST is British summer time, IST Indian standard time, and CST follows the region
+  of the source;
 * without one, the home zone of the source (``zone_col``) applies;
 * a local time that occurs twice is the earlier instant, one that never occurs is moved
   forward by the length of the gap (java.time's rule);
@@ -165,7 +167,7 @@ def normalise_timestamps(
     when they are named like those of the lookup.
     """
     home = feeds.where(F.col(feed_col).isNotNull()).groupBy(F.col(feed_col).alias("__feed")).agg(F.min(F.struct("zone_name", "date_order")).alias("__home"))
-    small = len(home.select("__feed").take(feed_limit + 1)) <= feed_limit
+    small = home.select("__feed").limit(feed_limit + 1).count() <= feed_limit
     joined = df.join(F.broadcast(home) if small else home, df[feed_col] == F.col("__feed"), "left")
     return _with_instant(joined, text_col, year_col, out_col, min_year, max_year).drop("__feed", "__home")
 

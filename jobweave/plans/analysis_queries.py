@@ -11,6 +11,7 @@ from jobweave.operators import forecast as P
 from jobweave.operators import graph as G
 from jobweave.plans.market_queries import EV, JOINED, OK, TITLED
 from jobweave.plans.sql import all_blank_trim
+from jobweave.sources.scratch import cut
 from jobweave.sources.tables import table
 
 YEARS = (2024, 2025)
@@ -50,7 +51,7 @@ def backtest_rows(s: SparkSession, d: str) -> DataFrame:
 
 
 def backtest_windows(s: SparkSession, d: str) -> DataFrame:
-    years = _years(s, d)
+    years = cut(_years(s, d))  # read by candidates, matches and truth
     return P.backtest(P.backtest_rows(years), P.emerged(years))
 
 

@@ -29,6 +29,14 @@ def governed_rows(s: SparkSession, d: str) -> DataFrame:
     return _governed(s, d).select(*columns)
 
 
+def governed_by_skills(s: SparkSession, d: str) -> DataFrame:
+    """The stack of each posting by the stacks of its skills, in the order they were found."""
+    found = table(s, d, "governed_skill").where("skill_name is not null").groupBy(F.col("raw_job_id").alias("raw_id")).agg(
+        F.countDistinct("skill_name").alias("skill_count"), F.transform(F.sort_array(F.collect_list(F.when(F.col("tech_stack").isNotNull(), F.struct("id", "tech_stack")))), lambda x: x["tech_stack"]).alias("stacks")
+    )  # as many as a posting has skills
+    return G.govern(canonical(_raw(s, d)), found).select("raw_id", "tech_stack")
+
+
 def upserted_jobs(s: SparkSession, d: str) -> DataFrame:
     """Governed rows merged with a fresh pass over the raw postings."""
     new = canonical(_raw(s, d)).select(F.col("raw_id").alias("raw_job_id"), "company", "city", "education")
@@ -57,6 +65,7 @@ QUERIES = {
     "template_hashes": lambda s, d: _raw(s, d).select("id", F.sha2(T.template_text(F.col("description")), 256).alias("template")),
     "content_keys": lambda s, d: _raw(s, d).select("id", G.content_key(F.col("title"), F.col("description"), F.col("company")).alias("key")),
     "governed_rows": governed_rows,
+    "governed_by_skills": governed_by_skills,
     "governance_issues": lambda s, d: G.issues(_governed(s, d)),
     "duplicate_clusters": lambda s, d: G.duplicate_clusters(table(s, d, "governed"), "raw_job_id", "template_hash", (F.col("valid_for_analysis") == 1) & (F.col("is_deleted") == 0)),
     "finished_duplicates": lambda s, d: G.finish_duplicates(table(s, d, "governed")),
@@ -144,7 +153,10 @@ SQL = {
       FROM zhitu_governed_job_skill WHERE skill_name IS NOT NULL) WHERE k = 1""",
     "folded_edits": """SELECT r.id, coalesce(g.company, r.company) AS company, coalesce(g.city, r.city) AS city, CASE WHEN g.raw_job_id IS NULL THEN 0 ELSE 1 END AS edits
       FROM dataset_job_raw r LEFT JOIN (SELECT * FROM zhitu_governed_job WHERE manual_modified = 1) g ON r.id = g.raw_job_id""",
-    "deduplicated_load": "SELECT min(id) AS id, source_dataset FROM dataset_job_raw GROUP BY source_dataset, content_hash",
+    "deduplicated_load": "SELECT min(id) AS id, source_dataset FROM dataset_job_raw WHERE trim(content_hash) <> '' GROUP BY source_dataset, content_hash UNION ALL SELECT id, source_dataset FROM dataset_job_raw WHERE coalesce(trim(content_hash), '') = ''",
+    "governed_by_skills": f"""{_GOV}, h AS (SELECT raw_job_id AS raw_id, tech_stack AS s, id FROM zhitu_governed_job_skill WHERE skill_name IS NOT NULL AND tech_stack IS NOT NULL),
+      m AS (SELECT raw_id, arg_max(s, (n, -first)) AS stack FROM (SELECT raw_id, s, count(*) AS n, min(id) AS first FROM h GROUP BY 1, 2) GROUP BY 1)
+      SELECT q.raw_id, coalesce(m.stack, {_case('lower(body)', G.STACKS, "'人工智能'")}) AS tech_stack FROM q LEFT JOIN m USING (raw_id)""",
     "requirement_types": f"""SELECT id, {_case("lower(coalesce(evidence_text, ''))", G.REQUIREMENTS, "'MENTIONED'")} AS kind, {_case("lower(coalesce(evidence_text, ''))", G.CONFIDENCES, "0.74")}::DOUBLE AS confidence FROM zhitu_governed_job_skill""",
     "staleness": "SELECT raw_job_id, CASE WHEN published_year IS NULL THEN 1 ELSE round(least(greatest((2026 - published_year) / 8.0::DOUBLE, 0), 1), 6) END AS stale FROM zhitu_governed_job",
 }

@@ -141,7 +141,7 @@ QUERIES = {
     "exact_copies": lambda s, d: D.exact_copies(table(s, d, "documents"), "doc_id", "text"),
     "import_status": lambda s, d: D.import_status(table(s, d, "documents"), "doc_id", "text", "source"),
     "documents_quality": documents_quality,
-    "similar_token_sets": lambda s, d: D.similar_token_sets(table(s, d, "documents"), "doc_id", "text"),
+    "similar_token_sets": lambda s, d: D.similar_token_sets(table(s, d, "raw_job"), "id", "title", 0.6),
     "frequent_duties": lambda s, d: D.frequent_duties(table(s, d, "governed"), "title_standard", "description_clean"),
     "lowered_hashes": lambda s, d: table(s, d, "documents").select("doc_id", F.sha2(lowered(F.col("text")), 256).alias("hash")),
     "event_windows": lambda s, d: _texts(E.windowed_counts(_events(s, d)), "window_start"),
@@ -222,8 +222,8 @@ SQL = {
       SELECT id, min(id) OVER (PARTITION BY key) AS first, CASE WHEN id > min(id) OVER (PARTITION BY key, source) THEN 'ALREADY_IMPORTED' WHEN chars < 40 THEN 'LOW_QUALITY' WHEN id > min(id) OVER (PARTITION BY key) THEN 'DUPLICATE_REVIEW' ELSE 'CLEANED' END AS status FROM r""",
     "documents_quality": f"""SELECT doc_id, round(0.3::DOUBLE + 0.25::DOUBLE * least(1.0::DOUBLE, length(coalesce(text, '')) / 500.0::DOUBLE) + CASE WHEN regexp_matches(coalesce(text, ''), '职责|要求|任职|负责|responsib|require') THEN 0.2::DOUBLE ELSE 0.05::DOUBLE END
       + CASE WHEN doc_id IN (SELECT doc_id FROM {_MENTION}) THEN 0.25::DOUBLE ELSE 0.05::DOUBLE END, 6) AS quality FROM documents""",
-    "similar_token_sets": f"""WITH s AS (SELECT min(doc_id) AS id, t FROM (SELECT doc_id, {_TOK} AS t FROM documents) WHERE len(t) > 0 GROUP BY t)
-      SELECT id_a, id_b, round(i / (na + nb - i), 6) AS similarity FROM (SELECT a.id AS id_a, b.id AS id_b, len(a.t) AS na, len(b.t) AS nb, len(list_intersect(a.t, b.t)) AS i FROM s a JOIN s b ON a.id < b.id AND list_has_any(a.t, b.t)) WHERE i / (na + nb - i) >= 0.82""",
+    "similar_token_sets": f"""WITH s AS (SELECT min(id) AS id, t FROM (SELECT id, {_TOK.replace('(text)', '(title)')} AS t FROM dataset_job_raw) WHERE len(t) > 0 GROUP BY t)
+      SELECT id_a, id_b, round(i / (na + nb - i), 6) AS similarity FROM (SELECT a.id AS id_a, b.id AS id_b, len(a.t) AS na, len(b.t) AS nb, len(list_intersect(a.t, b.t)) AS i FROM s a JOIN s b ON a.id < b.id AND list_has_any(a.t, b.t)) WHERE i / (na + nb - i) >= 0.6""",
     "lowered_hashes": f"SELECT doc_id, {_KEY} AS hash FROM documents",
     "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS events, count(DISTINCT user_id) AS users, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
     "event_sessions": """SELECT user_id, session, count(*) AS events, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS last_ts FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session

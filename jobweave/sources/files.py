@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
 from xml.etree import ElementTree
 
@@ -86,9 +87,38 @@ def read_texts(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return files.select("path", F.pandas_udf(_extract, "string")("path", "content").alias("text"))
 
 
-def write_snapshot(df: DataFrame, path: str) -> None:
-    """Replace a snapshot; readers see the old or the new files, never a mixture under one commit."""
-    df.write.mode("overwrite").parquet(path)
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Names of the complete versions of a snapshot, oldest first."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    where = hadoop.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(where))
+    return [n for n in names if n.startswith("v-") and fs.exists(hadoop.Path(f"{path}/{n}/_SUCCESS"))]
+
+
+def write_snapshot(df: DataFrame, path: str) -> str:
+    """Write a new version of a snapshot below ``path``; its folder's name.
+
+    A version is a folder of its own and counts from the moment its last file, the mark of
+    success, is there, so that readers see the old or the new version as a whole and a failed
+    write changes nothing. Old versions stay until they are removed by hand.
+    """
+    known = _versions(df.sparkSession, path)
+    version = f"v-{int(known[-1].split('-')[1]) + 1 if known else 1:012d}-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(f"{path}/{version}")
+    return version
+
+
+def read_snapshot(spark: SparkSession, path: str, bundled: DataFrame | None = None) -> DataFrame:
+    """The newest complete version of a snapshot; ``bundled`` where there is none yet."""
+    known = _versions(spark, path)
+    if known:
+        return spark.read.parquet(f"{path}/{known[-1]}")
+    if bundled is None:
+        raise FileNotFoundError(f"no snapshot below {path}")
+    return bundled
 
 
 def read_jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int) -> DataFrame:

@@ -14,7 +14,7 @@ from jobweave.operators import governance as G
 from jobweave.operators import graph
 from jobweave.operators.resume import parse_profile, parse_profiles
 from jobweave.operators.schema_map import canonical, find_columns
-from jobweave.sources.files import decode_text, docx_text, read_postings_csv, read_texts
+from jobweave.sources.files import decode_text, docx_text, read_postings_csv, read_snapshot, read_texts, write_snapshot
 from jobweave.sources.generator import postings
 from jobweave.streaming.events import windowed_counts
 from jobweave.streaming.governing import progress, start_governing
@@ -90,6 +90,28 @@ def test_files(spark, tmp_path):
     assert [r["text"] for r in read_texts(spark, str(tmp_path / "f")).collect()] == ["a\tb\nc | d"]
 
 
+def test_snapshots_switch_as_a_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/snap"
+    df = spark.range(3).toDF("id")
+    assert read_snapshot(spark, path, df).count() == 3
+    with pytest.raises(FileNotFoundError):
+        read_snapshot(spark, path)
+    first = write_snapshot(df, path)
+    old = read_snapshot(spark, path)
+    second = write_snapshot(df.limit(1), path)
+    assert first != second and old.count() == 3 and read_snapshot(spark, path).count() == 1
+    broken = df.select(F.raise_error(F.lit("no")).alias("id"))
+    with pytest.raises(Exception, match="no"):
+        write_snapshot(broken, path)
+    assert read_snapshot(spark, path).count() == 1
+
+
+def test_loads_keep_rows_without_a_hash(spark):
+    rows = [(1, "a", "h"), (2, "a", "h"), (3, "a", None), (4, "a", None), (5, "a", " "), (6, "b", "h")]
+    df = spark.createDataFrame(rows, "id int, source_dataset string, content_hash string")
+    assert sorted(r["id"] for r in G.deduplicate_load(df).collect()) == [1, 3, 4, 5, 6]
+
+
 def test_generator_is_the_same_for_any_partitions(spark):
     a = postings(spark, 500)
     assert a.exceptAll(postings(spark, 500).repartition(13)).count() == 0
@@ -124,6 +146,9 @@ def test_mentions_and_copies(spark):
     assert [(r["id"], r["skill_id"], r["place"], r["kind"], r["confidence"]) for r in got] == [(1, 1, 4, "REQUIRED", 0.94)]
     many = X.skill_mentions(texts, names, "id", "text", limit=1).collect()
     assert [(r["id"], r["skill_id"]) for r in many] == [(1, 1)]
+    both = spark.createDataFrame([(1, "Spark"), (1, "spark sql 与 hive"), (2, "HIVE" * 50), (2, "HIVE" * 50), (3, "sp ark")], "id int, text string")
+    more = X.dictionary(spark.createDataFrame([(1, "Spark SQL"), (2, "hive"), (3, "Spark"), (4, "spark")], "id long, canonical_name string"))
+    assert sorted(map(tuple, X.skill_mentions(both, more, "id", "text", limit=1).collect())) == sorted(map(tuple, X.skill_mentions(both, more, "id", "text").collect()))
     sets = spark.createDataFrame([(1, "aa bb cc dd ee"), (2, "aa bb cc dd ee ff"), (3, "zz yy"), (4, "EE dd cc bb aa"), (5, None), (6, "")], "id int, text string")
     assert [tuple(r) for r in D.similar_token_sets(sets, "id", "text").collect()] == [(1, 2, 0.833333)]
 
