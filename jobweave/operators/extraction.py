@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from jobweave.functions.measures import double
 from jobweave.operators.governance import requirement_confidence, requirement_type
-from jobweave.sources.scratch import cut
+from jobweave.sources.scratch import cut, spread
 
 BEFORE, AFTER = 45, 65
 MENTIONS = "array<struct<skill_id bigint, place int, evidence string>>"
@@ -36,9 +36,9 @@ def skill_mentions(texts: DataFrame, names: DataFrame, id_col: str, text_col: st
     Of each skill the first alias in dictionary order counts, at its first place (from 1),
     with the text around it. Up to ``limit`` names one automaton goes over each text once; a
     larger dictionary stays distributed and meets the texts over pairs of characters
-    (:func:`_joined_mentions`).
+    (:func:`_joined_mentions`). ``texts`` is a scan or a projection of one.
     """
-    texts = texts.where(F.length(text_col) > 0).select(F.col(id_col), F.lower(text_col).alias("__t"))
+    texts = spread(texts.where(F.length(text_col) > 0).select(F.col(id_col), F.lower(text_col).alias("__t")))
     if names.limit(limit + 1).count() <= limit:
         entries: dict[str, list[tuple[int, int]]] = {}
         for r in names.collect():  # at most `limit` names

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from jobweave.functions.measures import double
 from jobweave.functions.text import clean_description, spaces, standard_title, template_text
+from jobweave.sources.scratch import spread
 
 # Words that decide level, stack and requirement, in order.
 LEVELS = (
@@ -89,7 +90,7 @@ def govern(postings: DataFrame, skill_counts: DataFrame | None = None, as_of: in
     these stacks decides, words of the text only where there is none. Row failures cannot
     occur: every cast is tolerant.
     """
-    p = postings.select(
+    p = spread(postings).select(
         "raw_id", "raw_title", standard_title(F.col("raw_title")).alias("title"), F.substring(spaces(F.col("company")), 1, 300).alias("company"),
         F.substring(spaces(F.col("city")), 1, 120).alias("city"), F.substring(spaces(F.col("experience")), 1, 200).alias("experience"),
         clean_description(F.col("description")).alias("description"), F.coalesce(valid_year(F.col("published_year")), F.year("published_at")).alias("year"),

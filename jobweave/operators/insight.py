@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from jobweave.functions.evidence import clean_phrase, grounded, match_form
 from jobweave.functions.text import spaces
 from jobweave.operators.governance import first_match
+from jobweave.sources.scratch import spread
 
 # Markers of duties, requirements and optional requirements.
 DUTIES = ("负责", "参与", "建设", "设计", "开发", "搭建", "维护", "优化", "推进", "落地", "交付", "实现")
@@ -130,7 +131,7 @@ def extract_postings(postings: DataFrame, found: DataFrame, id_col: str, title_c
     none = F.expr("cast(array() as array<string>)")
     text = F.coalesce(text_col, F.lit(""))
     whole = F.lower(F.concat(F.col("role"), F.lit("\n"), text))
-    rows = postings.withColumn("role", role_name(F.col(title_col))).withColumn("stack", first_match(whole, STACKS, "人工智能")).withColumn("level", first_match(whole, LEVELS, "初级"))
+    rows = spread(postings).withColumn("role", role_name(F.col(title_col))).withColumn("stack", first_match(whole, STACKS, "人工智能")).withColumn("level", first_match(whole, LEVELS, "初级"))
     rows = rows.select(id_col, "role", "stack", "level", duties(text, F.col("role")).alias("duties"), scenarios(text, F.col("stack")).alias("scenarios"))
     rows = rows.join(buckets, id_col, "left").join(seen, id_col, "left").withColumns({"required": F.coalesce("required", none), "bonus": F.coalesce("bonus", none)})
     coverage = F.when(F.coalesce("evidence", F.lit(0)) == 0, 0.0).otherwise(F.round((F.size("required") + F.size("bonus")) / F.col("evidence"), 3))

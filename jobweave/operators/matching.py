@@ -28,28 +28,32 @@ def requirements(skills: DataFrame, jobs: DataFrame, top: int = 60) -> DataFrame
     return ranked.select("role", "skill_name", kind.alias("kind"), F.round(clamp(share, 0.08, 1.0) * F.when(untyped, 0.72).otherwise(1.0), 6).alias("importance"))
 
 
-def skill_rows(profiles: DataFrame) -> DataFrame:
-    """(id, skill, in_projects, internships): what each profile's texts say about each of its skills.
+def skill_rows(profiles: DataFrame, *carried: Column) -> DataFrame:
+    """(id, ``carried``, skill, in_projects, internships): what each profile's texts say about each of its skills.
 
     ``profiles`` has id, skills, projects (one text) and internships (an array of texts);
     ``internships`` of a row are the places of the texts that name the skill, case ignored.
     """
-    low = profiles.select("id", "skills", F.lower(F.coalesce("projects", F.lit(""))).alias("p"), F.transform(F.coalesce("internships", F.array().cast("array<string>")), F.lower).alias("i"))
-    each = low.select("id", "p", "i", F.explode(F.array_distinct("skills")).alias("skill")).where(F.trim("skill") != "")
+    low = profiles.select("id", *carried, "skills", F.lower(F.coalesce("projects", F.lit(""))).alias("p"), F.transform(F.coalesce("internships", F.array().cast("array<string>")), F.lower).alias("i"))
+    each = low.withColumn("skill", F.explode(F.array_distinct("skills"))).where(F.trim("skill") != "")
     word = F.lower("skill")
     places = F.when(F.size("i") > 0, F.filter(F.transform("i", lambda t, k: F.when(F.contains(t, word), k)), lambda k: k.isNotNull()))
-    return each.select("id", "skill", F.contains("p", word).alias("in_projects"), places.alias("internships"))
+    return each.withColumns({"in_projects": F.contains("p", word), "internships": places}).drop("p", "i", "skills")
 
 
-def profile_parts(profiles: DataFrame, rows: DataFrame) -> DataFrame:
-    """(id, years, internships, project, stack, education, own): the parts of the score that no role changes, once per profile."""
-    own = rows.groupBy("id").agg(
-        F.count_if("in_projects").alias("named"), F.countDistinct(F.split("skill", " ")[0]).alias("stacks"), F.collect_list(F.struct("skill", "internships")).alias("own")
-    )  # at most the dictionary
+def profile_parts(profiles: DataFrame) -> DataFrame:
+    """(id, years, internships, project, stack, education, own): the parts of the score that no role changes, in one pass over the profiles.
+
+    ``own`` holds at most the dictionary.
+    """
     education = F.when(F.col("education").isNull(), 60.0).when(F.col("education").rlike("硕士|博士"), 95.0).when(F.contains("education", F.lit("本科")), 88.0).otherwise(72.0)
-    told = profiles.select("id", F.coalesce("years", F.lit(0.0)).alias("years"), F.greatest(F.size("internships"), F.lit(0)).alias("internships"), education.alias("education")).dropDuplicates(["id"])
+    rows = skill_rows(profiles, F.coalesce("years", F.lit(0.0)).alias("years"), F.greatest(F.size("internships"), F.lit(0)).alias("interned"), education.alias("education"))
+    own = rows.groupBy("id").agg(
+        F.size(F.collect_set(F.when(F.col("in_projects"), F.col("skill")))).alias("named"), F.size(F.collect_set(F.split("skill", " ")[0])).alias("stacks"), F.collect_set(F.struct("skill", "internships")).alias("own"),
+        F.max("years").alias("years"), F.max("interned").alias("internships"), F.max("education").alias("education"),
+    )
     full = lambda v: F.least(F.lit(100.0), v)
-    return told.join(own, "id").select("id", "years", "internships", full(35.0 + F.col("named") * 10).alias("project"), full(45.0 + F.col("stacks") * 3).alias("stack"), "education", "own")
+    return own.select("id", "years", "internships", full(35.0 + F.col("named") * 10).alias("project"), full(45.0 + F.col("stacks") * 3).alias("stack"), "education", "own")
 
 
 def role_totals(needs: DataFrame, levels: DataFrame) -> DataFrame:
@@ -79,7 +83,7 @@ def match_profiles(profiles: DataFrame, needs: DataFrame, levels: DataFrame, k:
     ids count once.
     """
     # Both are read several times below, and are small beside the texts and postings they come from.
-    parts, needs = cut(profile_parts(profiles, skill_rows(profiles))), cut(needs)
+    parts, needs = cut(profile_parts(profiles)), cut(needs)
     small = needs.limit(broadcast_rows + 1).count() <= broadcast_rows
     near = F.broadcast if small else lambda df: df
     totals = role_totals(needs, levels)
@@ -89,8 +93,11 @@ def match_profiles(profiles: DataFrame, needs: DataFrame, levels: DataFrame, k:
     pairs = each.join(near(wanted), "skill").groupBy("id", "role", *fixed).agg(
         F.sum(F.when(F.col("required"), F.col("weight")).otherwise(F.lit(0))).alias("hit"),
         F.count_if(~F.col("required")).alias("bonus"),
-        F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("required"), F.col("named_in")))))).alias("relevant"),
     )
+    # Internships that name a required skill: few rows, so they are counted apart and joined.
+    told = each.where(F.size("named_in") > 0).select("id", "skill", F.explode("named_in").alias("k"))
+    relevant = told.join(near(wanted.where("required")), "skill").groupBy("id", "role").agg(F.countDistinct("k").alias("relevant"))
+    pairs = pairs.join(relevant, ["id", "role"], "left").withColumn("relevant", F.coalesce("relevant", F.lit(0)))
     c = F.col
     full = lambda v: F.least(F.lit(100.0), v)
     scored = pairs.join(near(totals.select("role", "total", "expected")), "role").select(
