@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from jobweave.functions.evidence import percent, points
 from jobweave.functions.measures import analysable, blank_null
+from jobweave.functions.text import jaccard, tokens
 from jobweave.functions.titles import clean_title, plausible_title
-from jobweave.operators.market import QueryPlan, run_plan, titled
+from jobweave.operators.evolution import changes, skill_rates
+from jobweave.operators.forecast import discovered, title_years
+from jobweave.operators.market import REGISTRY, QueryPlan, run_plan, titled
+from jobweave.sources.scratch import cut
 
 # How a change is called in its explanation, and the scenario of a stack that states none.
 TRENDS = (("WEAKENED", "降温"), ("MODIFIED", "口径变化"))
@@ -110,3 +114,62 @@ def variant_skills(skills: DataFrame, jobs: DataFrame, variants: list[str]) -> D
     """Skills of postings with any of several spellings of one title."""
     kept = jobs.where(analysable() & F.trim("title_standard").isin(*variants)).select("raw_job_id")
     return skills.where("skill_name is not null").join(kept, "raw_job_id", "left_semi").groupBy("skill_name").agg(F.count(F.lit(1)).alias("mentions"), F.countDistinct("raw_job_id").alias("postings"))
+
+
+def with_fallback(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """All rows of ``first``, and those of ``second`` whose key ``first`` does not have; ``origin`` tells them apart."""
+    rest = second.join(first.select(key).distinct(), key, "left_anti")
+    return first.withColumn("origin", F.lit("snapshot")).unionByName(rest.withColumn("origin", F.lit("published")))
+
+
+def left_out(raw: DataFrame, parsed: DataFrame, raw_key: str, parsed_key: str, group: str) -> DataFrame:
+    """(group, parsed, left): of each group how many raw rows are parsed and how many still wait."""
+    done = parsed.select(F.col(parsed_key).alias("__k")).distinct()
+    joined = raw.select(raw_key, group).join(done, F.col(raw_key) == F.col("__k"), "left")
+    return joined.groupBy(group).agg(F.count("__k").alias("parsed"), F.count_if(F.col("__k").isNull()).alias("left"))
+
+
+def coverage(relation: DataFrame, group: str, evidence: str) -> DataFrame:
+    """(group, rows, told, share): how much of a relation has evidence."""
+    told = F.count_if(F.trim(evidence) != "")
+    return relation.groupBy(F.coalesce(F.col(group), F.lit("")).alias(group)).agg(F.count(F.lit(1)).alias("rows"), told.alias("told"), F.round(told / F.count(F.lit(1)), 6).alias("share"))
+
+
+def positions(df: DataFrame, id_col: str, parts: int) -> DataFrame:
+    """``df`` with ``position``, the place of each row in the order of ``id_col``, without one task seeing all rows.
+
+    Rows are dealt by ranges of the id; a row's place is that within its range behind the
+    sizes of the ranges before it, of which there are ``parts``.
+    """
+    ranged = cut(df.repartitionByRange(parts, id_col).withColumn("__part", F.spark_partition_id()))
+    sizes = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")  # `parts` rows
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(id_col))
+    return ranged.withColumn("__k", within).join(F.broadcast(before), "__part").withColumn("position", F.col("__before") + F.col("__k")).drop("__part", "__k", "__before")
+
+
+def recent_copies(df: DataFrame, id_col: str, text_col: str, back: int = 200, threshold: float = 0.82, parts: int = 64) -> DataFrame:
+    """(id, copy_of, similarity): of each text the nearest of the ``back`` texts before it whose words are alike to ``threshold``.
+
+    As a bounded look-back over a stream sees it, for all rows at once: texts meet only within
+    neighbouring stretches of ``back`` positions and over their rarer words, of which two
+    texts as alike as that share one.
+    """
+    words = positions(df.select(F.col(id_col).alias("id"), F.array_sort(tokens(F.col(text_col))).alias("t")).where(F.size("t") > 0), "id", parts)
+    words = cut(words)
+    each = words.select("id", "position", F.size("t").alias("n"), F.explode("t").alias("token"))
+    rarity = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    ordered = each.join(rarity, "token").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("df", "token")))
+    prefix = ordered.where(F.col("k") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1).select("position", "token")
+    stretch = F.floor((F.col("position") - 1) / back)
+    late = prefix.select(F.col("position").alias("b"), "token", F.explode(F.array(stretch, stretch - 1)).alias("s"))
+    early = prefix.select(F.col("position").alias("a"), "token", stretch.alias("s"))
+    met = late.join(early, ["token", "s"]).where((F.col("b") > F.col("a")) & (F.col("b") - F.col("a") <= back)).select("a", "b").distinct()
+    side = lambda p, t, i: words.select(F.col("position").alias(p), F.col("t").alias(t), F.col("id").alias(i))
+    scored = met.join(side("a", "ta", "ia"), "a").join(side("b", "tb", "ib"), "b").select("ib", "ia", "a", F.round(jaccard(F.col("ta"), F.col("tb")), 6).alias("similarity")).where(F.col("similarity") >= threshold)
+    best = scored.groupBy("ib").agg(F.max(F.struct("a", "ia", "similarity")).alias("m"))
+    return best.select(F.col("ib").alias("id"), F.col("m.ia").alias("copy_of"), "m.similarity")
+
+
+REGISTRY["EMERGING_CANDIDATES"] = lambda p, jobs, skills: discovered(title_years(jobs)).where(F.lit(p.year is None) | (F.col("year") == (p.year or 0))).orderBy("year", "place").limit(p.limit)
+REGISTRY["EVOLUTION_EVENTS"] = lambda p, jobs, skills: changes(skill_rates(skills, jobs, ((p.year or 2026) - 1, p.year or 2026)), ((p.year or 2026) - 1, p.year or 2026)).orderBy(F.desc("confidence"), "title_standard", "skill_name").limit(p.limit)

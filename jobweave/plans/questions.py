@@ -19,6 +19,9 @@ RULES = (
     ("TECH_STACK", r"方向分布|技术方向|stack"),
     ("QUALITY_SUMMARY", r"数据质量|质量概况|quality"),
     ("JOB_SAMPLES", r"样例|例子|示例|原文|sample"),
+    ("EVOLUTION_EVENTS", r"新增.{0,8}能力|能力演化|能力变化"),
+    ("EMERGING_CANDIDATES", r"新岗位|新职位|萌芽|新兴岗位|候选岗位"),
+    ("MARKET_SUMMARY", r"一共|总共|总量"),
     ("TOP_ROLES", r"岗位|职位|最多|排行|top|role|job"),
 )
 INTENTS = (

@@ -17,6 +17,8 @@ from jobweave.plans.governance_queries import SQL as GOVERNANCE
 from jobweave.plans.governance_queries import _governed
 from jobweave.plans.listing_queries import SQL as LISTINGS
 from jobweave.plans.market_queries import OK, TITLED
+from jobweave.plans.people_queries import _NEEDS as NEEDS
+from jobweave.plans.people_queries import _TOK
 from jobweave.plans.people_queries import SQL as PEOPLE
 from jobweave.plans.people_queries import _levels, _needs, learning_plans, profiles
 from jobweave.plans.questions import plans_for
@@ -78,8 +80,31 @@ def answer_evidence(s: SparkSession, d: str) -> DataFrame:
     return R.evidence_of(plans_for(QUESTION)[0], table(s, d, "governed"), table(s, d, "governed_skill")).select("place", "kind", F.regexp_extract("evidence", r"(?:value=|year=)([^;]*)", 1).alias("told"))
 
 
-QUERIES = {f.__name__: f for f in (explained_changes, net_momentum, match_reports, plan_reports, discovered_details, refreshed_jobs, pending_counts, answer_evidence)} | {
+def role_requirements(s: SparkSession, d: str) -> DataFrame:
+    """Requirements of roles out of this year's postings; for roles without any, those of all years."""
+    needs = lambda where: M.requirements(table(s, d, "governed_skill"), table(s, d, "governed").where(where))
+    return R.with_fallback(needs("published_year = 2026"), needs("true"), "role")
+
+
+def compacted_history(s: SparkSession, d: str) -> DataFrame:
+    """The last four documents of each source, oldest first, clipped at 520 characters."""
+    last = L.last_per_key(table(s, d, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"), "crawled_at", "text"), "source", "crawled_at", "doc_id", 4)
+    return last.select("doc_id", "source", "place", F.substring("text", 1, 520).alias("said"))
+
+
+def skill_stacks(s: SparkSession, d: str) -> DataFrame:
+    """Every spelling of the relation with its stack and category in the list, a default where it has none."""
+    listed = table(s, d, "skill").select(F.col("canonical_name").alias("skill_name"), "tech_stack", "category")
+    named = table(s, d, "governed_skill").where("skill_name is not null").select("skill_name").distinct().join(F.broadcast(listed), "skill_name", "left")  # the reference list
+    return named.select("skill_name", F.coalesce("tech_stack", F.lit("其他")).alias("stack"), F.coalesce("category", F.lit("其他技能")).alias("category"))
+
+
+QUERIES = {f.__name__: f for f in (role_requirements, compacted_history, skill_stacks, explained_changes, net_momentum, match_reports, plan_reports, discovered_details, refreshed_jobs, pending_counts, answer_evidence)} | {
     "presented_candidates": lambda s, d: R.presented(table(s, d, "raw_job").select("id", "title"), "title"),
+    "unparsed_postings": lambda s, d: R.left_out(table(s, d, "raw_job"), table(s, d, "governed"), "id", "raw_job_id", "source_dataset"),
+    "evidence_coverage": lambda s, d: R.coverage(table(s, d, "governed_skill"), "origin_type", "evidence_text"),
+    "recent_copies": lambda s, d: R.recent_copies(table(s, d, "raw_job"), "id", "title"),
+    "row_positions": lambda s, d: R.positions(table(s, d, "governed").select("raw_job_id"), "raw_job_id", 16),
     "newest_documents": lambda s, d: R.newest(table(s, d, "documents"), "doc_id", 500, "source", "doc_kind"),
     "newest_relations": lambda s, d: R.newest(table(s, d, "governed_skill"), "id", 100, "raw_job_id", "skill_name"),
     "variant_skills": lambda s, d: R.variant_skills(table(s, d, "governed_skill"), table(s, d, "governed"), ["隐私采集工程师", "Edge Integration Engineer", "边缘平台工程师", "矿山集成工程师"]),
@@ -95,7 +120,18 @@ _PLANS = PEOPLE["learning_plans"]
 _SCENE = "CASE " + " ".join(f"WHEN contains(stack, '{w}') THEN '{v}'" for w, v in R.DEFAULT_SCENARIOS) + f" ELSE '{R.OTHER_SCENARIO}' END"
 _REFRESHED = {"title_standard": "title", "tech_stack": "tech_stack", "level_name": "level_name", "published_year": "year", "skill_count": "skill_count", "quality_score": "quality_score", "stale_score": "stale_score", "valid_for_analysis": "valid", "governance_status": "status"}
 _STAYS = "n.raw_id IS NULL OR coalesce(o.manual_modified = 1 OR o.is_deleted = 1, false)"
+_Y26 = NEEDS.replace(TITLED, f"{TITLED} AND published_year = 2026")
+_TITLE_TOKENS = _TOK.replace("(text)", "(title)")
 SQL = {
+    "role_requirements": f"WITH a AS ({_Y26}), b AS ({NEEDS}) SELECT *, 'snapshot' AS origin FROM a UNION ALL SELECT *, 'published' FROM b WHERE role NOT IN (SELECT role FROM a)",
+    "compacted_history": "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY back DESC) AS place, substring(text, 1, 520) AS said FROM (SELECT doc_id, coalesce(source, '') AS source, text, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY crawled_at DESC, doc_id DESC) AS back FROM documents) WHERE back <= 4",
+    "skill_stacks": "SELECT DISTINCT s.skill_name, coalesce(k.tech_stack, '其他') AS stack, coalesce(k.category, '其他技能') AS category FROM zhitu_governed_job_skill s LEFT JOIN skill k ON k.canonical_name = s.skill_name WHERE s.skill_name IS NOT NULL",
+    "unparsed_postings": "SELECT source_dataset, count(*) FILTER (id IN (SELECT raw_job_id FROM zhitu_governed_job)) AS parsed, count(*) FILTER (id NOT IN (SELECT raw_job_id FROM zhitu_governed_job)) AS left FROM dataset_job_raw GROUP BY 1",
+    "evidence_coverage": "SELECT coalesce(origin_type, '') AS origin_type, count(*) AS rows, count(*) FILTER (trim(evidence_text) <> '') AS told, round(count(*) FILTER (trim(evidence_text) <> '') / count(*), 6) AS share FROM zhitu_governed_job_skill GROUP BY 1",
+    "recent_copies": f"""WITH w AS (SELECT id, t, row_number() OVER (ORDER BY id) AS p FROM (SELECT id, {_TITLE_TOKENS} AS t FROM dataset_job_raw) WHERE len(t) > 0),
+      s AS (SELECT b.id, a.id AS copy_of, a.p, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6) AS similarity FROM w b JOIN w a ON a.p < b.p AND b.p - a.p <= 200 AND list_has_any(a.t, b.t))
+      SELECT id, arg_max(copy_of, p) AS copy_of, arg_max(similarity, p) AS similarity FROM s WHERE similarity >= 0.82 GROUP BY 1""",
+    "row_positions": "SELECT raw_job_id, row_number() OVER (ORDER BY raw_job_id) AS position FROM zhitu_governed_job",
     "explained_changes": f"SELECT title_standard, skill_name, change, explanation FROM ({_EXPLAINED})",
     "net_momentum": f"""WITH x AS (SELECT *, list_transform(regexp_extract_all(explanation, '([0-9]+(?:\\.[0-9]+)?)%', 1), lambda v: CAST(v AS DOUBLE)) AS f FROM ({_EXPLAINED})),
       z AS (SELECT *, CASE WHEN len(f) >= 2 THEN f[-1] - f[1] WHEN len(f) = 1 THEN f[1] ELSE 0.0::DOUBLE END AS diff FROM x)
