@@ -120,8 +120,11 @@ def cheapest_parses(fields: DataFrame, field_col: str = "field", weight_col: str
     ``fields`` has one row per distinct non-null field and how often it occurs. Ties go to
     the smaller number of values, then the smaller dialect name.
     """
-    # Parsed once: the codebook, the costs and the choice all read the same parses.
-    parsed = cut(fields.select(field_col, weight_col, F.pandas_udf(_parses, PARSES)(field_col).alias("p")))
+    # Parsed once: the codebook, the costs and the choice all read the same parses. Fields are few bytes but
+    # much work, so they are dealt out by number, which adaptive execution does not merge into one task.
+    spark = fields.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    parsed = cut(fields.repartition(tasks).select(field_col, weight_col, F.pandas_udf(_parses, PARSES)(field_col).alias("p")))
     single = F.size("p") == 1
     # A field with one parse needs no codebook, but feeds it.
     each = parsed.select(field_col, F.posexplode("p").alias("k", "parse"), (F.col(weight_col) / F.size("p")).alias("share"), (~single).alias("open"))
