@@ -67,8 +67,12 @@ def stack_distribution(roles: DataFrame) -> DataFrame:
     return roles.groupBy("tech_stack").agg(F.count(F.lit(1)).alias("roles"), F.sum("sample_count").alias("samples"))
 
 
-def panorama(skills: DataFrame, jobs: DataFrame, role_limit: int = 24, edge_limit: int = 200, min_evidence: int = 1) -> DataFrame:
-    """Edges of the most frequent roles: roles are chosen first, then only their postings meet the skills."""
+def panorama(skills: DataFrame, jobs: DataFrame, role_limit: int = 24, edge_limit: int = 200, min_evidence: int = 1, stack: str | None = None, level: str | None = None) -> DataFrame:
+    """Edges of the most frequent roles, of one ``stack`` or ``level`` where stated: roles are chosen first, then only their postings meet the skills."""
+    if stack:
+        jobs = jobs.where(filled("tech_stack", NO_STACK) == stack)
+    if level:
+        jobs = jobs.where(filled("level_name", NO_LEVEL) == level)
     top = cut(role_nodes(jobs).orderBy(F.desc("sample_count"), *ROLE_KEY).limit(role_limit).select(*ROLE_KEY))
     keyed = jobs.where(analysable() & titled()).withColumns({"__r": F.trim("title_standard"), "__t": filled("tech_stack", NO_STACK), "__l": filled("level_name", NO_LEVEL)})
     small = F.broadcast(top)  # at most role_limit rows
@@ -105,3 +109,8 @@ def retrieve(relation: DataFrame, question: str) -> DataFrame:
     w = Window.partitionBy("role_name").orderBy(F.desc("support_weight"), F.asc("skill_name"), F.asc("tech_stack"), F.asc("level_name"))
     hits = relation.where(named).select(*ROLE_KEY, "skill_name", "relation", "support_weight", F.row_number().over(w).alias("place"))
     return hits.where("place <= 8")
+
+
+def quality(nodes: DataFrame) -> DataFrame:
+    """(nodes, quality): the mean confidence of the nodes, of a hundred."""
+    return nodes.agg(F.count(F.lit(1)).alias("nodes"), F.round(F.avg("confidence") * 100, 2).alias("quality"))

@@ -23,8 +23,9 @@ SCENARIOS = (
 )
 # What is no skill, and words that decide level and stack here, in order.
 COURSES = ("操作系统", "离散数学", "数据库原理与应用", "数据库原理", "计算机组成原理", "编译原理", "软件工程导论", "大学英语", "高等数学", "线性代数", "概率论", "数理统计", "专业英语")
-NO_SKILL_END = r"(?:经验|背景|方向|岗位|职责|内容|描述|项目|经历|证书|课程|专业|论文)$"
-NO_SKILL = "负责|参与|使用|熟悉|掌握|了解|能够|具有|进行|完成|搭建|建设|精通|协助|主导|独立|能力|团队|协作|沟通|责任|抗压|领导|主动|思维|认真|积极|细心|执行力|适应力|表达"
+NO_SKILL_ENDS = ("经验", "背景", "方向", "岗位", "职责", "内容", "描述", "项目", "经历", "证书", "课程", "专业", "论文")
+ACTIONS = ("负责", "参与", "使用", "熟悉", "掌握", "了解", "能够", "具有", "进行", "完成", "搭建", "建设", "精通", "负责过", "协助", "主导", "独立")
+SOFT_SKILLS = ("能力", "团队", "协作", "沟通", "责任", "抗压", "领导", "主动", "思维", "认真", "积极", "细心", "学习能力", "执行力", "适应力", "表达")
 ROLE_NOISE = r"(?i)(招聘|急招|校招|社招|诚聘|高薪|双休|五险一金)"
 LEVELS = (("高级", "高级|资深|专家|架构|5年以上|五年以上"), ("中级", "中级|3年以上|三年以上|3-5年|两年以上|2年以上"))
 STACKS = (
@@ -32,6 +33,9 @@ STACKS = (
     ("物联网", "物联网|嵌入式|mqtt|边缘|工业互联网"), ("智能系统", "视觉|机器人|智能系统|图像识别"), ("前端开发", "vue|react|typescript|前端"),
 )
 
+NO_SKILL_END = f"(?:{'|'.join(NO_SKILL_ENDS)})$"
+NO_SKILL = "|".join((*ACTIONS, *SOFT_SKILLS))
+
 
 def alias_form(value: Column) -> Column:
     """How aliases are compared: lower case without blanks, underscores and hyphens."""

@@ -11,7 +11,7 @@ import unicodedata
 from collections.abc import Iterable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Section headings, degrees, labels.
@@ -271,6 +271,20 @@ def parse_profile(text: str, as_of: tuple[int, int] = (2026, 6), file_name: str
     }
 
 
+# What a resume holds, and how much each of them says.
+SIGNS = (
+    (2, "姓名|求职意向|个人简历|基本信息"), (2, "教育背景|教育经历|学历背景"), (2, "实习经历|工作经历|项目经历|项目经验|科研竞赛|校园经历"), (1, r"(?:19|20)[0-9]{2}[^0-9]{0,2}[0-9]{0,2}[^0-9]{0,3}(?:-|—|–|至|~|～)[^0-9]{0,3}(?:(?:19|20)[0-9]{2}|至今|现在)"),
+    (1, r"1[3-9][0-9]{9}|[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), (1, "(?i)java|python|sql|mysql|redis|spring|tensorflow|pytorch|tableau"),
+)
+RESUME_SCORE, RESUME_LENGTH = 4, 80
+
+
+def resume_likeness(text: Column) -> Column:
+    """Points for what a resume holds; a text below 80 characters has none. From 4 on it is taken for a resume."""
+    score = sum((F.when(text.rlike(pattern), points).otherwise(0) for points, pattern in SIGNS), F.lit(0))
+    return F.when(F.length(text) < RESUME_LENGTH, 0).otherwise(score)
+
+
 def parse_profiles(df: DataFrame, id_col: str, text_col: str, as_of: tuple[int, int] = (2026, 6), file_col: str | None = None, known: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, profile fields and records) of every non-blank text; open date ranges end at ``as_of``.
 

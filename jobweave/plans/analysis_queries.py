@@ -70,6 +70,8 @@ QUERIES = {
     "graph_summary": lambda s, d: G.summary(G.role_nodes(_j(s, d)), _edges(s, d)),
     "graph_stacks": lambda s, d: G.stack_distribution(G.role_nodes(_j(s, d))),
     "graph_panorama": lambda s, d: G.panorama(_k(s, d), _j(s, d)),
+    "graph_of_level": lambda s, d: G.panorama(_k(s, d), _j(s, d), 48, 400, 2, level="高级"),
+    "graph_quality": lambda s, d: G.quality(G.role_nodes(_j(s, d))),
     "graph_neighbours": lambda s, d: G.top_neighbours(_edges(s, d)),
     "graph_expanded": graph_expanded,
     "graph_retrieval": lambda s, d: G.retrieve(_edges(s, d), "边缘平台工程师需要哪些技能，Edge Integration Engineer 呢"),
@@ -162,6 +164,8 @@ SQL = {
       count(*) FILTER (relation = 'BONUS') AS bonus, count(*) FILTER (relation = 'MENTIONED') AS mentioned, round(avg(confidence), 5) AS mean_confidence FROM e""",
     "graph_stacks": f"SELECT tech_stack, count(*) AS roles, sum(sample_count)::BIGINT AS samples FROM ({_ROLES}) GROUP BY 1",
     "graph_panorama": f"WITH e AS ({_EDGES}), t AS (SELECT {_KEYS} FROM ({_ROLES}) ORDER BY sample_count DESC, {_KEYS} LIMIT 24) SELECT e.* FROM e SEMI JOIN t USING ({_KEYS}) ORDER BY support_weight DESC, {_KEYS}, skill_name LIMIT 200",
+    "graph_of_level": f"WITH e AS ({_EDGES}), t AS (SELECT {_KEYS} FROM ({_ROLES}) WHERE level_name = '高级' ORDER BY sample_count DESC, {_KEYS} LIMIT 48) SELECT e.* FROM e SEMI JOIN t USING ({_KEYS}) WHERE evidence_count >= 2 ORDER BY support_weight DESC, {_KEYS}, skill_name LIMIT 400",
+    "graph_quality": f"SELECT count(*) AS nodes, round(avg(confidence) * 100, 2) AS quality FROM ({_ROLES})",
     "graph_neighbours": f"SELECT {_KEYS}, skill_name, evidence_count, place FROM (SELECT *, row_number() OVER (PARTITION BY {_KEYS} ORDER BY evidence_count DESC, skill_name) AS place FROM ({_EDGES})) WHERE place <= 16",
     "graph_expanded": f"""WITH e AS (SELECT DISTINCT 'R:' || role_name AS a, 'S:' || skill_name AS b FROM ({_EDGES})), g AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), s AS (SELECT 'R:' || role_name AS node FROM ({_ROLES}) ORDER BY sample_count DESC, {_KEYS} LIMIT 1),
       h1 AS (SELECT DISTINCT b AS node FROM g WHERE a IN (FROM s) AND b NOT IN (FROM s)), h2 AS (SELECT DISTINCT b AS node FROM g WHERE a IN (FROM h1) AND b NOT IN (FROM s) AND b NOT IN (FROM h1))

@@ -11,6 +11,7 @@ from jobweave.operators import governance as G
 from jobweave.operators import listings as L
 from jobweave.operators import matching as M
 from jobweave.operators import reports as R
+from jobweave.operators.resume import SIGNS, resume_likeness
 from jobweave.plans.analysis_queries import SQL as ANALYSES
 from jobweave.plans.analysis_queries import YEARS
 from jobweave.plans.governance_queries import SQL as GOVERNANCE
@@ -101,6 +102,7 @@ def skill_stacks(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (role_requirements, compacted_history, skill_stacks, explained_changes, net_momentum, match_reports, plan_reports, discovered_details, refreshed_jobs, pending_counts, answer_evidence)} | {
     "presented_candidates": lambda s, d: R.presented(table(s, d, "raw_job").select("id", "title"), "title"),
+    "resume_likeness": lambda s, d: table(s, d, "documents").select("doc_id", resume_likeness(F.coalesce("text", F.lit(""))).alias("points")),
     "unparsed_postings": lambda s, d: R.left_out(table(s, d, "raw_job"), table(s, d, "governed"), "id", "raw_job_id", "source_dataset"),
     "evidence_coverage": lambda s, d: R.coverage(table(s, d, "governed_skill"), "origin_type", "evidence_text"),
     "recent_copies": lambda s, d: R.recent_copies(table(s, d, "raw_job"), "id", "title"),
@@ -126,6 +128,7 @@ SQL = {
     "role_requirements": f"WITH a AS ({_Y26}), b AS ({NEEDS}) SELECT *, 'snapshot' AS origin FROM a UNION ALL SELECT *, 'published' FROM b WHERE role NOT IN (SELECT role FROM a)",
     "compacted_history": "SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY back DESC) AS place, substring(text, 1, 520) AS said FROM (SELECT doc_id, coalesce(source, '') AS source, text, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY crawled_at DESC, doc_id DESC) AS back FROM documents) WHERE back <= 4",
     "skill_stacks": "SELECT DISTINCT s.skill_name, coalesce(k.tech_stack, '其他') AS stack, coalesce(k.category, '其他技能') AS category FROM zhitu_governed_job_skill s LEFT JOIN skill k ON k.canonical_name = s.skill_name WHERE s.skill_name IS NOT NULL",
+    "resume_likeness": "SELECT doc_id, CASE WHEN length(coalesce(text, '')) < 80 THEN 0 ELSE " + " + ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN {n} ELSE 0 END" for n, p in SIGNS) + " END AS points FROM documents",
     "unparsed_postings": "SELECT source_dataset, count(*) FILTER (id IN (SELECT raw_job_id FROM zhitu_governed_job)) AS parsed, count(*) FILTER (id NOT IN (SELECT raw_job_id FROM zhitu_governed_job)) AS left FROM dataset_job_raw GROUP BY 1",
     "evidence_coverage": "SELECT coalesce(origin_type, '') AS origin_type, count(*) AS rows, count(*) FILTER (trim(evidence_text) <> '') AS told, round(count(*) FILTER (trim(evidence_text) <> '') / count(*), 6) AS share FROM zhitu_governed_job_skill GROUP BY 1",
     "recent_copies": f"""WITH w AS (SELECT id, t, row_number() OVER (ORDER BY id) AS p FROM (SELECT id, {_TITLE_TOKENS} AS t FROM dataset_job_raw) WHERE len(t) > 0),

@@ -121,6 +121,19 @@ def read_snapshot(spark: SparkSession, path: str, bundled: DataFrame | None = No
     return bundled
 
 
-def read_jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int) -> DataFrame:
-    """A database table in ``parts`` ranges of its key, read side by side."""
-    return spark.read.jdbc(url, name, column=key, lowerBound=low, upperBound=high, numPartitions=parts)
+def read_jdbc(spark: SparkSession, url: str, name: str, key: str, low: int, high: int, parts: int, driver: str | None = None) -> DataFrame:
+    """A database table in ``parts`` ranges of its key, read side by side; filters and columns are pushed to the database."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", name).option("partitionColumn", key).option("lowerBound", low).option("upperBound", high).option("numPartitions", parts)
+    return (reader.option("driver", driver) if driver else reader).load()
+
+
+def query_jdbc(spark: SparkSession, url: str, query: str, driver: str | None = None) -> DataFrame:
+    """The rows of one statement, run by the database: a list, one row or a single number."""
+    reader = spark.read.format("jdbc").option("url", url).option("query", query)
+    return (reader.option("driver", driver) if driver else reader).load()
+
+
+def write_jdbc(df: DataFrame, url: str, name: str, mode: str = "append", batch: int = 1000, driver: str | None = None) -> None:
+    """Rows into a database table, in batches of ``batch`` a statement."""
+    writer = df.write.format("jdbc").option("url", url).option("dbtable", name).option("batchsize", batch)
+    (writer.option("driver", driver) if driver else writer).mode(mode).save()

@@ -14,7 +14,7 @@ from jobweave.operators import governance as G
 from jobweave.operators import graph
 from jobweave.operators.resume import parse_profile, parse_profiles
 from jobweave.operators.schema_map import canonical, find_columns
-from jobweave.sources.files import decode_text, docx_text, read_postings_csv, read_snapshot, read_texts, write_snapshot
+from jobweave.sources.files import decode_text, docx_text, query_jdbc, read_jdbc, read_postings_csv, read_snapshot, read_texts, write_jdbc, write_snapshot
 from jobweave.sources.generator import postings
 from jobweave.streaming.events import windowed_counts
 from jobweave.streaming.governing import progress, start_governing
@@ -106,6 +106,16 @@ def test_snapshots_switch_as_a_whole(spark, tmp_path):
     assert read_snapshot(spark, path).count() == 1
 
 
+def test_databases(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path}/db;create=true", "org.apache.derby.jdbc.EmbeddedDriver"
+    df = spark.range(1, 101).selectExpr("id", "concat('n', id) as name", "cast(id % 7 as double) as v")
+    write_jdbc(df, url, "jobs", driver=driver)
+    write_jdbc(spark.createDataFrame([(101, "x", None)], "id long, name string, v double"), url, "jobs", driver=driver)
+    got = read_jdbc(spark, url, "jobs", "id", 1, 101, 4, driver)
+    assert got.rdd.getNumPartitions() == 4 and got.count() == 101 and got.where("v is null").first()["name"] == "x"
+    assert query_jdbc(spark, url, 'select count(*) as n, max("v") as m from jobs where "id" > 50', driver).first()[:] == (51, 6.0)
+
+
 def test_loads_keep_rows_without_a_hash(spark):
     rows = [(1, "a", "h"), (2, "a", "h"), (3, "a", None), (4, "a", None), (5, "a", " "), (6, "b", "h")]
     df = spark.createDataFrame(rows, "id int, source_dataset string, content_hash string")
