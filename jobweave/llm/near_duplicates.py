@@ -35,6 +35,7 @@ LONGS = -(-BLOCKS // BLOCKS_PER_LONG)
 LOW_BITS = int("01" * (SLOTS * BLOCKS_PER_LONG), 2)
 BROADCAST_ROWS = 200_000
 COPIES_PER_TASK = 1_000
+HOT_BLOCK, SAMPLE = 4_096, 64  # ids from which on a block is dealt over tasks; one of so many ids is looked at to tell
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _rng = np.random.default_rng(SEED)
@@ -143,6 +144,29 @@ def representatives(df: DataFrame, id_col: str, text_col: str, min_chars: int) -
     return known.where("rep = id").select("id", "blocks", "compact"), known.select("id", "rep").distinct()
 
 
+def meeting_pairs(posted: DataFrame) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: ids of ``posted`` (id, block) that share a block, once for every block they share.
+
+    A block that many ids hold (a boilerplate passage) would be one key of the join. Such
+    blocks are told by a sample of the ids, and dealt over tasks: each of ``parts`` tasks
+    meets a part of their ids with all of them. The sample decides on the dealing only; every
+    pair is met whatever it says.
+    """
+    sampled = posted.where(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(SAMPLE)) == 0).groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+    hot = cut(sampled.where(F.col("n") * SAMPLE >= HOT_BLOCK).select("block", F.ceil(F.col("n") * SAMPLE / HOT_BLOCK).cast("int").alias("parts")))
+    number = hot.count()
+    if not number:
+        left, right = posted, posted
+        keys = ["block"]
+    else:
+        marked = posted.join(F.broadcast(hot) if number <= BROADCAST_ROWS else hot, "block", "left")
+        left = marked.select("id", "block", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int").alias("part"))
+        right = marked.select("id", "block", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))).alias("part"))
+        keys = ["block", "part"]
+    other = right.withColumnRenamed("id", "id_b")
+    return left.withColumnRenamed("id", "id_a").join(other, keys).where("id_a < id_b").select("id_a", "id_b")
+
+
 def similar_pairs(
     df: DataFrame,
     id_col: str,
@@ -161,9 +185,7 @@ def similar_pairs(
     gives empty results. Other columns of ``df`` play no part.
     """
     reps, members = representatives(df, id_col, text_col, min_chars)
-    posted = reps.select("id", F.explode("blocks").alias("block"))
-    other = posted.select(F.col("id").alias("id_b"), "block")
-    met = posted.withColumnRenamed("id", "id_a").join(other, "block").where("id_a < id_b").select("id_a", "id_b").distinct()
+    met = meeting_pairs(reps.select("id", F.explode("blocks").alias("block"))).distinct()
     compact = reps.select("id", "compact")
     verified = (
         met.join(compact.select(F.col("id").alias("id_a"), F.col("compact").alias("fa")), "id_a")

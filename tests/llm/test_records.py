@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jobweave.llm.canonical import grams, match_values, normal_value
 from jobweave.llm.components import components
-from jobweave.llm.near_duplicates import expand_pairs, jaccard, similar_groups, similar_pairs
+from jobweave.llm.near_duplicates import expand_pairs, jaccard, meeting_pairs, similar_groups, similar_pairs
 from jobweave.llm.record_queries import QUERIES
 from jobweave.llm.skeleton import equal_looking, plain_form, skeleton, stand_ins, with_forms
 from jobweave.llm.survivors import group_members, surviving_values, survivors
@@ -72,6 +72,17 @@ def test_pairs_against_all_pairs(spark):
     assert expand_pairs(*empty).count() == 0 and similar_groups(*empty).count() == 0
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_hot_blocks_are_dealt(spark, monkeypatch, limit):
+    monkeypatch.setattr("jobweave.llm.near_duplicates.HOT_BLOCK", 128)
+    monkeypatch.setattr("jobweave.llm.near_duplicates.BROADCAST_ROWS", limit)
+    rows = [(k, 1) for k in range(600)] + [(k, 2) for k in range(590, 700)] + [(k, 3) for k in (1, 650)]
+    got = [tuple(r) for r in meeting_pairs(spark.createDataFrame(rows, "id long, block long")).collect()]
+    by_block = [[k for k, b in rows if b == x] for x in (1, 2, 3)]
+    want = sorted((a, b) for ids in by_block for a in ids for b in ids if a < b)
+    assert sorted(got) == want
+
+
 def test_expanded_pairs_of_large_classes(spark, monkeypatch):
     monkeypatch.setattr("jobweave.llm.near_duplicates.COPIES_PER_TASK", 3)
     members = spark.createDataFrame([(k, 0) for k in range(10)] + [(k, 20) for k in range(20, 24)] + [(30, 30)], "id long, rep long")
