@@ -179,6 +179,21 @@ def test_confusables_of_unicode(spark):
     assert flagged == {k for k, (_, n) in got.items() if n}
 
 
+@pytest.mark.parametrize("name", [n for n in QUERIES if n.startswith("p6_")])
+def test_without_icu_there_is_an_error(spark, folder, monkeypatch, name):
+    jvm = spark._jvm
+
+    class WithoutIcu:
+        com = jvm.absent  # names below it are packages without classes, as com.ibm.icu is where the library is missing
+
+        def __getattr__(self, name):
+            return getattr(jvm, name)
+
+    monkeypatch.setattr(spark, "_jvm", WithoutIcu())
+    with pytest.raises(RuntimeError, match="com.ibm.icu.text.SpoofChecker"):
+        QUERIES[name](spark, folder)
+
+
 def test_plain_form_changes_where_stand_ins_are(spark, folder):
     found = {tuple(r) for r in QUERIES["p6_found"](spark, folder).collect()}
     raw = {r["id"]: r for r in spark.read.parquet(f"{folder}/dataset_job_raw.parquet").collect()}
